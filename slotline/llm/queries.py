@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotline.llm.group_split import assign_splits, group_split, must_share, split_report
+from slotline.llm.mixing import SourceMix
 from slotline.llm.proportional_sample import ProportionalSample, distinct_records
+from slotline.llm.template_residue import ResidueDetector, clean_corpus
 from slotline.llm.tokens import encoder
 from slotline.sources.readings import participant_id
 from slotline.sources.tables import table
@@ -50,7 +52,36 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoder(spark).encode(table(spark, d, "documents", ["doc_id", "text"])).select("doc_id", "ids")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_sample, p5_report, p7_found, p7_assigned, p7_report, p8_ids)}
+def _mix(spark: SparkSession, d: str) -> SourceMix:
+    return SourceMix(table(spark, d, "documents", ["doc_id", "text", "source"]), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).rows()
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_report(spark, d).filter(~F.col("reachable")).select("source")
+
+
+def p10_marks(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents", ["doc_id", "text", "sender"])
+    return ResidueDetector.fit(documents).mark(documents)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_marks(spark, d).filter("marked").select("doc_id")
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    return clean_corpus(table(spark, d, "documents", ["doc_id", "text"]), p10_marks(spark, d)).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_sample, p5_report, p7_found, p7_assigned, p7_report, p8_ids, p9_found, p9_mix, p9_report, p10_found, p10_marks, p10_clean)}
 
 _WHO = "coalesce({0}source_file{1}, '') || '|' || coalesce(upper(trim({0}id{1})), '')"
 _P5 = """

@@ -97,7 +97,7 @@ def fill_window(values: Column, sentinel: float | None = None) -> Column:
     known = F.filter(F.transform(values, lambda v, i: F.when(v.isNotNull(), F.struct(i.alias("i"), v.alias("v")))), lambda x: x.isNotNull())
 
     def fill(v: Column, i: Column) -> Column:
-        left, right = F.element_at(F.filter(known, lambda x: x["i"] <= i), -1), F.get(F.filter(known, lambda x: x["i"] >= i), F.lit(0))
+        left, right = F.try_element_at(F.filter(known, lambda x: x["i"] <= i), F.lit(-1)), F.get(F.filter(known, lambda x: x["i"] >= i), F.lit(0))
         line = left["v"] + (right["v"] - left["v"]) * (i - left["i"]) / F.nullif(right["i"] - left["i"], F.lit(0))
         return F.coalesce(v, line, left["v"], right["v"])
 

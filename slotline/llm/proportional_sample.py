@@ -96,20 +96,22 @@ class ProportionalSample:
         )
 
     def rows(self) -> DataFrame:
-        """The sampled records, with ``rank`` (random place in the category) and ``priority``.
+        """The sampled records, with ``sample_rank`` (random place in the category) and ``sample_priority``.
 
         The rank is worked out without gathering a category: records fall into buckets of their
         random number, each bucket is ranked by itself, and the buckets' sizes give its start.
         """
-        r, t = self._records.alias("r"), F.broadcast(self._table).alias("t")  # one row per target category, at most MAX_CATEGORIES
-        known = r.join(t, F.col(f"r.{self.category}").eqNullSafe(F.col(f"t.{self.category}"))).select("r.*", "t.target_share", "t.sampled", "t.buckets")
-        drawn = known.withColumn("_u", _random(self._identity, self._seed)).withColumn("_bucket", F.floor((F.col("_u") / 2.0**64 + 0.5) * F.col("buckets")).cast("bigint"))
-        sizes = drawn.groupBy(self.category, "_bucket").agg(F.count("*").alias("_n"))
-        starts = sizes.select(self.category, "_bucket", F.coalesce(F.sum("_n").over(W.partitionBy(self.category).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-        inner = drawn.withColumn("_rn", F.row_number().over(W.partitionBy(self.category, "_bucket").orderBy("_u", *self._identity)))
-        a, b = inner.alias("a"), starts.alias("b")
-        ranked = a.join(b, F.col(f"a.{self.category}").eqNullSafe(F.col(f"b.{self.category}")) & (F.col("a._bucket") == F.col("b._bucket"))).withColumn("rank", F.col("_start") + F.col("_rn"))
-        return ranked.filter(F.col("rank") <= F.col("a.sampled")).select(*(f"a.{c}" for c in self._records.columns), "rank", ((F.col("rank") - 0.5) / F.col("a.target_share")).alias("priority"))
+        own = F.col(f"r.`{self.category}`")
+        seats_ = self._table.select(F.col(self.category).alias("_c"), F.col("target_share").alias("_share"), F.col("sampled").alias("_sampled"), F.col("buckets").alias("_buckets"))
+        known = self._records.alias("r").join(F.broadcast(seats_), own.eqNullSafe(F.col("_c")))  # one row per target category, at most MAX_CATEGORIES
+        drawn = known.withColumn("_u", _random(self._identity, self._seed)).withColumn("_bucket", F.floor((F.col("_u") / 2.0**64 + 0.5) * F.col("_buckets")).cast("bigint"))
+        sizes = drawn.groupBy("_c", "_bucket").agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(W.partitionBy("_c").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+        starts = sizes.select(F.col("_c").alias("_d"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"))
+        inner = drawn.withColumn("_rn", F.row_number().over(W.partitionBy("_c", "_bucket").orderBy("_u", *self._identity)))
+        ranked = inner.join(starts, F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_start") + F.col("_rn"))
+        chosen = ranked.filter(F.col("_rank") <= F.col("_sampled"))
+        return chosen.select(*(F.col(f"`{c}`") for c in self._records.columns), F.col("_rank").alias("sample_rank"), ((F.col("_rank") - 0.5) / F.col("_share")).alias("sample_priority"))
 
 
 def distinct_records(template: DataFrame, key: list[str]) -> DataFrame:

@@ -74,8 +74,8 @@ class SourceMix:
         if len(rows) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
         self.sources, self.share, self.repeats = [r.source for r in rows], np.array([r.share for r in rows], float), np.array([r.repeats for r in rows], float)
-        code = encoder(spark, path)
         narrow = documents.select("doc_id", "text", "source")
+        code = encoder(spark, path).learnt(narrow)
         odds = _log_odds(narrow, self.sources, code, most)
         coded = code.encode(narrow).select("doc_id", "source", "ids")
         self.members = coded.mapInPandas(_members(odds, self.sources, label_weight), "doc_id bigint, source string, n_tokens bigint, member array<double>").checkpoint()

@@ -49,7 +49,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoder(spark).encode(table(spark, d, "documents", ["doc_id", "text"])).select("doc_id", "ids")
+    documents = table(spark, d, "documents", ["doc_id", "text"])
+    return encoder(spark).learnt(documents).encode(documents).select("doc_id", "ids")
 
 
 def _mix(spark: SparkSession, d: str) -> SourceMix:

@@ -4,7 +4,9 @@ A text is cut into words by the tokenizer's pattern. A word that is a token is l
 others the distinct ones (of each stretch of ``STRETCH`` words) are turned into byte arrays, and a
 fold merges the adjacent pair of lowest rank until none is left, as the vocabulary's merge list
 says. Both lookups go against literals: the merge ranks and the whole tokens, as arrays of small
-maps addressed by a hash, since Spark searches one large map from its start.
+maps addressed by a hash, since Spark searches one large map from its start. ``learnt`` adds the
+commonest other words of a bounded sample, folded once, to the second; which words those are
+changes the work only, never the ids.
 
 No shuffle and no Python in the hot path; the work is in proportion to the text, whatever its words
 are. A word of more than ``LONGEST`` bytes, for which a fold over pairs would be quadratic, goes
@@ -13,6 +15,7 @@ through a heap in an Arrow-batched function that gives the same ids.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import json
 import os
@@ -101,11 +104,11 @@ def _buckets(entries: dict, bucket) -> list[dict]:
     return cells
 
 
-def _literal(spark: SparkSession, name: str, value: list, kind: str, key: str | None = None) -> Column:
+def _literal(spark: SparkSession, name: str, value: list, kind: str, key: tuple[str, str] | None = None) -> Column:
     """A session variable holding ``value``, which the optimizer puts into a plan as one compact literal."""
     read = f"from_json(v, '{kind}')"
     if key:
-        read = f"transform(from_json(v, 'array<struct<k:array<{key}>,v:array<int>>>'), x -> map_from_arrays(x.k, x.v))"
+        read = f"transform(from_json(v, 'array<struct<k:array<{key[0]}>,v:array<{key[1]}>>>'), x -> map_from_arrays(x.k, x.v))"
     spark.createDataFrame([(json.dumps(value, separators=(",", ":")),)], "v string").createOrReplaceTempView(f"{name}_source")
     spark.sql(f"declare or replace variable {name} {kind}")
     spark.sql(f"set variable {name} = (select {read} from {name}_source)")
@@ -136,13 +139,32 @@ class Encoder:
                 continue  # no word of a text is half a character
         words.pop("", None)
         tag = f"slotline_{zlib.crc32(self.path.encode()):08x}"
-        self._words = _literal(spark, f"{tag}_words", _buckets(words, lambda w: zlib.crc32(w.encode()) % BUCKETS), "array<map<string,int>>", "string")
-        self._pairs = _literal(spark, f"{tag}_pairs", _buckets({a * 65536 + b: i for (a, b), i in v.merges.items()}, lambda k: k % BUCKETS), "array<map<bigint,int>>", "bigint")
+        self._tag, self._whole = tag, {w: [i] for w, i in words.items()}
+        self._words = self._word_table(spark, self._whole, "words")
+        self._pairs = _literal(spark, f"{tag}_pairs", _buckets({a * 65536 + b: i for (a, b), i in v.merges.items()}, lambda k: k % BUCKETS), "array<map<bigint,int>>", ("bigint", "int"))
         self._bytes = _literal(spark, f"{tag}_bytes", list(v.byte_ids), "array<int>")
         self._pieces = _literal(spark, f"{tag}_pieces", [t.hex() for t in v.tokens], "array<string>")
 
+    def _word_table(self, spark: SparkSession, words: dict[str, list[int]], name: str) -> Column:
+        return _literal(spark, f"{self._tag}_{name}", _buckets(words, lambda w: zlib.crc32(w.encode()) % BUCKETS), "array<map<string,array<int>>>", ("string", "array<int>"))
+
+    def learnt(self, df: DataFrame, text: str = "text", most_texts: int = 2000, most_words: int = 20_000) -> Encoder:
+        """This encoder with the ids of up to ``most_words`` words that are no tokens at hand: those in most of about ``most_texts`` texts.
+
+        The sample is bounded and chosen by a hash of the texts; every other word is folded where it stands.
+        """
+        share = min(1.0, most_texts / max(1, df.count()))
+        chosen = df.select(text).filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * most_texts)
+        words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
+        other = F.array_distinct(F.filter(words, lambda w: self._token(w).isNull() & (F.octet_length(w) <= LONGEST)))
+        common = chosen.select(F.explode(other).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(most_words)
+        found = {r.w: list(r.ids) for r in common.select("w", self._fold(F.col("w")).alias("ids")).collect()}
+        out = copy.copy(self)
+        out._words = self._word_table(df.sparkSession, self._whole | found, "common")
+        return out
+
     def _token(self, word: Column) -> Column:
-        """Id of a word that is a token, else NULL."""
+        """Ids of a word that is a token or a common word, else NULL."""
         return F.element_at(F.get(self._words, F.crc32(word.cast("binary")) % BUCKETS), word)
 
     def _ranked(self, left: Column, right: Column) -> Column:
@@ -190,7 +212,7 @@ class Encoder:
 
             def with_fresh(f: Column) -> Column:
                 coded = F.transform(f, lambda x: F.when(F.octet_length(x) > LONGEST, F.get(long_ids, (F.array_position(long_words, x) - 1).cast("int"))).otherwise(self._fold(x)))
-                pick = lambda c: F.flatten(F.zip_with(w, t, lambda x, i: F.when(i.isNotNull(), F.array(i)).otherwise(F.get(c, (F.array_position(f, x) - 1).cast("int")))))
+                pick = lambda c: F.flatten(F.zip_with(w, t, lambda x, i: F.coalesce(i, F.get(c, (F.array_position(f, x) - 1).cast("int")))))
                 return _let(coded, pick)
 
             return _let(fresh, with_fresh)

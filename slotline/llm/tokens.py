@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,12 @@ def encode_word(word: bytes, v: Vocabulary) -> list[int]:
     return [t for t, ok in zip(ids, alive, strict=True) if ok]
 
 
+def _word_bucket(word: str) -> int:
+    """What Spark's ``pmod(xxhash64(word), BUCKETS)`` gives; 42 is its seed."""
+    h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
+
+
 def _buckets(entries: dict, bucket) -> list[dict]:
     cells: list[dict] = [{"k": [], "v": []} for _ in range(BUCKETS)]
     for k, i in entries.items():
@@ -146,7 +153,7 @@ class Encoder:
         self._pieces = _literal(spark, f"{tag}_pieces", [t.hex() for t in v.tokens], "array<string>")
 
     def _word_table(self, spark: SparkSession, words: dict[str, list[int]], name: str) -> Column:
-        return _literal(spark, f"{self._tag}_{name}", _buckets(words, lambda w: zlib.crc32(w.encode()) % BUCKETS), "array<map<string,array<int>>>", ("string", "array<int>"))
+        return _literal(spark, f"{self._tag}_{name}", _buckets(words, _word_bucket), "array<map<string,array<int>>>", ("string", "array<int>"))
 
     def learnt(self, df: DataFrame, text: str = "text", most_texts: int = 2000, most_words: int = 20_000) -> Encoder:
         """This encoder with the ids of up to ``most_words`` words that are no tokens at hand: those in most of about ``most_texts`` texts.
@@ -165,7 +172,7 @@ class Encoder:
 
     def _token(self, word: Column) -> Column:
         """Ids of a word that is a token or a common word, else NULL."""
-        return F.element_at(F.get(self._words, F.crc32(word.cast("binary")) % BUCKETS), word)
+        return F.element_at(F.get(self._words, F.pmod(F.xxhash64(word), F.lit(BUCKETS))), word)
 
     def _ranked(self, left: Column, right: Column) -> Column:
         """Merged id of a pair, which is its rank; ``NEVER`` if the pair is not in the merge list or lacks a side."""

@@ -32,7 +32,7 @@ def _log_odds(documents: DataFrame, sources: list[str], code: Encoder, most: int
     counts = code.encode(chosen).select("source", F.explode("ids").alias("token")).groupBy("source", "token").count().toPandas()  # at most sources x vocabulary rows
     table = np.full((len(code.vocabulary.tokens), len(sources)), 0.5)
     np.add.at(table, (counts.token.to_numpy(np.int64), counts.source.map({s: i for i, s in enumerate(sources)}).to_numpy(np.int64)), counts["count"].to_numpy(float))
-    return np.log(table / table.sum(0))
+    return np.log(table / table.sum(0)).astype(np.float32)
 
 
 def _members(log_odds: np.ndarray, sources: list[str], label_weight: float):
@@ -43,7 +43,7 @@ def _members(log_odds: np.ndarray, sources: list[str], label_weight: float):
         for f in frames:
             out = []
             for ids, source in zip(f.ids, f.source, strict=True):
-                z = log_odds[ids].sum(0) / np.sqrt(len(ids)) if len(ids) else np.zeros(len(sources))
+                z = log_odds[ids].sum(0, dtype=np.float64) / np.sqrt(len(ids)) if len(ids) else np.zeros(len(sources))
                 p = np.exp(z - z.max())
                 p /= p.sum()
                 if source in place:
@@ -127,17 +127,21 @@ class SourceMix:
             return
         goal = self.share * self.total
         mass = np.maximum(self.tokens, 1.0)  # the diagonal scaling of the gradient
-        for _ in range(GRADIENT_STEPS):
+        before = np.full(len(goal), np.inf)
+        for _ in range(GRADIENT_STEPS):  # until the expected tokens no longer move: unreachable targets stay off
             expected, _ = self._sums()
-            self.history.append((expected - goal) / mass)
-            if np.abs(expected - goal).max() < 1e-3 * self.total:
+            if np.abs(expected - before).max() < 1e-3 * self.total:
                 break
+            self.history.append((expected - goal) / mass)
+            before = expected
+        before = np.full(len(goal), np.inf)
         for _ in range(CORRECTIONS):
             _, actual = self._sums()
             off = np.where(actual > 0, goal / np.maximum(actual, 1e-9), 1.0)
-            self.factors = np.clip(self.factors * off, 0.0, 1e6)
-            if np.abs(off - 1)[actual > 0].max(initial=0.0) < 1e-4:
+            if np.abs(actual - before).max() < 1e-4 * self.total:
                 break
+            self.factors = np.clip(self.factors * off, 0.0, 1e6)
+            before = actual
 
     def rows(self) -> DataFrame:
         """Every document: doc_id, source, n_tokens, rate and copies (how often it is used, at most max_repeats)."""

@@ -4,8 +4,9 @@ Each participant's recorded values, in time order, are decomposed with an undeci
 widths of 1 to ``widest`` readings the detail is the mean of the readings less the mean of the two
 around them (two vanishing moments: level and slope leave no detail). Details are compared with the
 participant's own robust scale. A run of one same value (first differences all zero) much longer
-than the participant's usual repeats is a sensor that hangs. Bounds of the participant's unit or
-dose size show what no device can give.
+than the participant's usual run is a sensor that hangs: the usual run is the median one, 3 where
+the logger repeats each value three times, and runs are counted in multiples of it. Bounds of the
+participant's unit or dose size show what no device can give.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ class Limits:
     mg: tuple[float, float] = (40.0, 400.0)
     mmol: tuple[float, float] = (2.22, 22.22)
     stuck_least: int = 9
+    stuck_times: float = 5.0  # of the participant's usual run
+    stuck_rarity: float = 1e6  # one run in so many is as long by chance
+    runs_least: int = 10  # below, the usual run isn't known and 1 is taken
     stuck_dose_least: int = 5
     meal_dose: float = 0.6  # units; smaller doses are basal delivery and may repeat
     dose_times: float = 5.0  # of the participant's median meal dose
@@ -45,7 +49,7 @@ class Limits:
 
 
 LIMITS = Limits()
-CHUNK, MARGIN = 1024, 64
+CHUNK, MARGIN = 4096, 256
 
 
 def _recorded(readings: DataFrame) -> DataFrame:
@@ -86,15 +90,32 @@ def _chunk_figures(limits: Limits):
                 detail = np.abs(_details(kept, 1))
                 detail = detail[detail > 0]  # NaN fails too
                 step = np.diff(sec)
-                same = np.diff(kept) == 0
-                begun = int((~same).sum()) + 1
-                again = int((same & np.concatenate([[True], ~same[:-1]])).sum()) if len(same) else 0
-                out.append((source, pid, field, level, float(np.median(detail)) / 0.6745 if len(detail) else None, float(np.median(step)) if len(step) else None, again, begun, len(kept)))
-            yield pd.DataFrame(out, columns=["source_file", "id", "field", "level", "scale", "pace", "again", "begun", "n"])
+                runs = _run_lengths(kept)
+                run = int(np.quantile(runs, 0.5, method="lower")) if len(runs) >= limits.runs_least else 1
+                again = int((runs >= 1.5 * run).sum())
+                out.append((source, pid, field, level, float(np.median(detail)) / 0.6745 if len(detail) else None, float(np.median(step)) if len(step) else None, run, again, len(runs), len(kept)))
+            yield pd.DataFrame(out, columns=["source_file", "id", "field", "level", "scale", "pace", "run", "again", "begun", "n"])
 
     return run
 
 
+def _run_lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of same values, in order."""
+    ends = np.flatnonzero(np.diff(x) != 0) + 1
+    return np.diff(np.concatenate([[0], ends, [len(x)]])) if len(x) else np.zeros(0, int)
+
+
+def _stuck_from(run: float, again: float, begun: float, limits: Limits) -> int:
+    """The length from which a run of same values is a sensor that hangs.
+
+    ``run`` is the participant's usual run, ``again`` of its ``begun`` runs go on into a second one.
+    The length doesn't depend on that of the record.
+    """
+    repeat = min((again + 1.0) / (begun + 2.0), 0.98)
+    chance = np.log(limits.stuck_rarity) / -np.log(repeat) + 2.0
+    return max(limits.stuck_least, int(np.ceil(run * max(chance, limits.stuck_times if run > 1 else 0.0))))
+
+
 def _hanging(x: np.ndarray, least: int) -> np.ndarray:
     """Whether each value belongs to a run of at least ``least`` same values."""
     if not len(x):
@@ -129,9 +150,6 @@ def _chunk_flags(limits: Limits, chunk: int):
             for r in frame.itertuples(index=False):
                 place, sec, x, low, high = r.place, r.sec, r.value, r.low, r.high
                 own = (place >= r.core_from) & (place < r.core_from + chunk)
-                begun = max(float(r.begun), 1.0)
-                repeat = min(max(float(r.again) / begun, 1e-6), 0.98)
-                usual = np.log(max(begun, 2.0)) / -np.log(repeat) + 2.0
                 reason = np.full(len(x), None, object)
                 if r.field == "cgm":
                     mmol = r.level < limits.mmol_below
@@ -143,7 +161,7 @@ def _chunk_flags(limits: Limits, chunk: int):
                     spike = _spikes(x[at], sec[at], r.pace or 300.0, r.scale or 0.0, limits.spike_least_mg / (limits.mg_per_mmol if mmol else 1.0), limits)
                     reason[at[spike]] = "spike"
                     rest = at[~spike]
-                    stuck = _hanging(x[rest], max(limits.stuck_least, int(np.ceil(usual))))
+                    stuck = _hanging(x[rest], _stuck_from(r.run, r.again, r.begun, limits))
                     reason[rest[stuck]] = "stuck"
                     reason[beyond] = "impossible"
                     reason[held & (reason != "impossible")] = None
@@ -174,7 +192,9 @@ def implausible(readings: DataFrame, limits: Limits = LIMITS, chunk: int = CHUNK
     themselves. A participant with few readings gets the bounds only; an empty table gives no rows.
 
     The series of a participant is cut into chunks of ``chunk`` readings with margins, so no task
-    holds more than a chunk of it; the participant's figures are medians of the chunks' figures.
+    holds more than a chunk of it; the participant's figures are medians of the chunks' figures. A
+    stuck run that lies over a chunk's end is found on both sides of it as long as ``margin`` is no
+    shorter than the length that a run must have (5 to 22 of the participant's usual runs).
     """
     rows = _recorded(readings)
     instants = rows.groupBy(*KEYS, "sec").agg(F.min_by("value", "row_pos").alias("value"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -182,9 +202,9 @@ def implausible(readings: DataFrame, limits: Limits = LIMITS, chunk: int = CHUNK
     packed = chunked(placed, KEYS, ["sec", "value", "low", "high"], chunk, margin)
     chunks = packed.select(*KEYS, "core_from", *(F.col(f"rows.{c}").alias(c) for c in ("place", "sec", "value", "low", "high")))
     text = "source_file string, id string, field string"
-    parts = chunks.select(*KEYS, "sec", "value").mapInPandas(_chunk_figures(limits), f"{text}, level double, scale double, pace double, again bigint, begun bigint, n bigint")
+    parts = chunks.select(*KEYS, "sec", "value").mapInPandas(_chunk_figures(limits), f"{text}, level double, scale double, pace double, run bigint, again bigint, begun bigint, n bigint")
     mid = lambda c: F.percentile_approx(c, 0.5, 10000)
-    figures = parts.groupBy(*KEYS).agg(mid("level").alias("level"), mid("scale").alias("scale"), mid("pace").alias("pace"), F.sum("again").alias("again"), F.sum("begun").alias("begun"))
+    figures = parts.groupBy(*KEYS).agg(mid("level").alias("level"), mid("scale").alias("scale"), mid("pace").alias("pace"), mid("run").alias("run"), F.sum("again").alias("again"), F.sum("begun").alias("begun"))
     meal = rows.filter(F.col("field") == "insulin").select("source_file", "id", _meal_dose(F.col("value"), F.col("base"), limits).alias("dose")).filter(F.col("dose").isNotNull())
     own_dose = meal.groupBy("source_file", "id").agg(mid("dose").alias("own"), F.count("*").alias("n"))
     source_dose = meal.groupBy("source_file").agg(mid("dose").alias("whole"))
@@ -195,7 +215,7 @@ def implausible(readings: DataFrame, limits: Limits = LIMITS, chunk: int = CHUNK
         .select("f.*", F.when(F.col("o.n") >= limits.doses_least, F.col("o.own")).otherwise(F.col("s.whole")).alias("dose"))
     )
     c, k = chunks.alias("c"), known.alias("k")
-    judged = c.join(k, same_key("c", "k", KEYS)).select("c.*", "k.level", "k.scale", "k.pace", "k.again", "k.begun", "k.dose")
+    judged = c.join(k, same_key("c", "k", KEYS)).select("c.*", "k.level", "k.scale", "k.pace", "k.run", "k.again", "k.begun", "k.dose")
     flags = judged.mapInPandas(_chunk_flags(limits, chunk), f"{text}, sec bigint, level double, least double, most double, reason string")
     r, g = rows.alias("r"), flags.alias("g")
     value = F.col("r.value")

@@ -95,6 +95,16 @@ def test_implausible_values(spark):
     assert implausible(readings(spark, [])).count() == 0
 
 
+def test_stuck_runs_of_a_logger_that_repeats_each_value(spark):
+    rng = np.random.default_rng(4)
+    own = np.round(150 + 40 * np.sin(np.arange(400) / 15) + rng.normal(0, 2, 400), 1) + np.arange(400) % 2 * 0.05  # no two neighbours are the same
+    for n in (300, 1200):  # the record's length plays no part
+        x = np.repeat(own, 3)[:n].copy()
+        x[90:96], x[245:280] = x[90], 133.33  # over the end of a chunk of 256
+        got = {r.row_pos: r.reason for r in implausible(readings(spark, series(list(x))), chunk=256, margin=64).collect()}
+        assert {k for k, v in got.items() if v == "stuck"} == set(range(245, 280))
+
+
 def test_implausible_doses(spark):
     rng = np.random.default_rng(2)
     u = np.where(rng.random(800) < 0.1, np.round(rng.uniform(2, 9, 800), 2), 0.05)

@@ -55,6 +55,29 @@ def slots_array(value: str, first: int, last: int, frame: Callable[[int, int], W
     return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda k: F.coalesce(F.element_at(known, F.col("slot") + k), F.lit(missing).cast("double")))
 
 
+def _dense_blocks(grid: DataFrame, value: str, before: int, after: int, block: int) -> DataFrame:
+    """One row per block of slots: keys, _own (its rows, structs of slot and v), _from (slot of the first entry of _dense), _dense (value of each slot of the block and of the margins)."""
+    first, last = F.floor((F.col("slot") - after) / block), F.floor((F.col("slot") + before) / block)
+    spread = grid.select(*KEYS, F.struct("slot", F.col(value).alias("v")).alias("_row"), F.explode(F.sequence(first, last)).alias("_block"))
+    packed = spread.groupBy(*KEYS, "_block").agg(F.array_sort(F.collect_list("_row")).alias("_seen")).withColumn("_from", F.col("_block") * block - before)
+    none = lambda n: F.array_repeat(F.lit(None).cast("double"), n.cast("int"))
+    at = F.col("_from")
+    led = F.transform("_seen", lambda x, i: F.concat(none(x["slot"] - F.when(i == 0, at).otherwise(F.get(F.col("_seen"), i - 1)["slot"] + 1)), F.array(x["v"])))
+    rest = none(at + before + block + after - 1 - F.element_at("_seen", -1)["slot"])
+    own = F.filter("_seen", lambda x: F.floor(x["slot"] / block) == F.col("_block"))
+    return packed.select(*KEYS, own.alias("_own"), "_from", F.concat(F.flatten(led), rest).alias("_dense")).filter(F.size("_own") > 0)
+
+
+def windows(grid: DataFrame, value: str, first: int, last: int, block: int = 576) -> DataFrame:
+    """Every row of the grid: source_file, id, slot, ``window`` (the values of slots ``first`` <= 0 to ``last`` >= 0 from here, in order, NULL where there is none).
+
+    As ``slots_array`` over a frame, but cut from one array per block, for windows of hundreds of slots.
+    """
+    rows = _dense_blocks(grid, value, -first, last, block).select(*KEYS, F.explode("_own").alias("_row"), "_from", "_dense")
+    slot = F.col("_row.slot")
+    return rows.select(*KEYS, slot.alias("slot"), F.slice("_dense", (slot - F.col("_from") + first + 1).cast("int"), F.lit(last - first + 1)).alias("window"))
+
+
 def ordinal_from_start(readings: DataFrame, step: int = SLOT_SECONDS) -> DataFrame:
     """Rows on the phase of their participant's first date, with ``i`` = whole steps since it; others are left out."""
     rows = readings.filter(F.col("date").isNotNull()).select("row_pos", "source_file", participant_id().alias("id"), epoch_seconds("date").alias("sec"))

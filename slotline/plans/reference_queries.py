@@ -118,6 +118,13 @@ def history_and_future(spark, d):
     return w.select("source_file", "id", "slot", h[0].alias("back23"), h[17].alias("back6"), h[23].alias("now"), f[5].alias("next6"), f[23].alias("next24"), n.alias("n_seen"))
 
 
+@query()
+def history_and_future_288(spark, d):
+    """The reference's arrays at every slot; ``history_and_future`` is a sample of hourly slots and short histories that its SQL can check."""
+    w = F.col("window")
+    return G.windows(_grid(spark, d, "cgm"), "cgm", -287, 24).select("source_file", "id", "slot", F.slice(w, 1, 288).alias("history"), F.slice(w, 289, 24).alias("future"))
+
+
 @query(
     "with r as (select row_pos, source_file, upper(trim(id)) as id, cast(floor(epoch(date)) as bigint) as sec from train where date is not null), t as (select source_file, id, min(sec) as t0 from r group by all) "
     "select row_pos, source_file, id, cast((sec - t0) // 300 as bigint) as i from r join t using (source_file, id) where (sec - t0) % 300 = 0"

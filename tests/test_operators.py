@@ -19,6 +19,7 @@ from slotline.operators import metrics as M
 from slotline.operators.blocks import chunked, with_place
 from slotline.operators.hooks import ForbiddenColumn, SlotSums, with_hooks
 from slotline.operators.segments import segments
+from slotline.plans import reference_queries as R
 from slotline.sources.tables import MissingColumns, normalise_missing, require_columns
 from slotline.streaming.live_grid import live_grid
 
@@ -107,6 +108,25 @@ def test_window_fill_is_numpys(spark):
         assert r.f == (pytest.approx(np.interp(range(12), known, [a[k] for k in known])) if known else a)
 
 
+def long_gaps(spark):
+    """Readings of two days and more on the grid, with holes of minutes to a day, as a table and as slot -> value."""
+    rng = np.random.default_rng(12)
+    keep = (rng.random(1500) < 0.8) & ~np.isin(np.arange(1500) // 60, (3, 9, 10, 17, 18, 19, 20, 21))
+    known = {1000 + int(k): float(v) for k, v in zip(np.flatnonzero(keep), rng.normal(150, 30, keep.sum()), strict=True)}
+    silent = {1000 + int(k): None for k in np.flatnonzero(~keep)[::7]}  # slots of the grid without a value
+    both = known | silent
+    return grid_of(spark, both, both.values()), both
+
+
+def test_whole_histories_and_futures_of_every_slot(spark, monkeypatch):
+    grid, values = long_gaps(spark)
+    monkeypatch.setattr(R, "_grid", lambda *_: grid)
+    got = {r.slot: r for r in R.history_and_future_288(spark, "").collect()}
+    assert got.keys() == values.keys()
+    for k, r in got.items():
+        assert list(r.history) == [values.get(j) for j in range(k - 287, k + 1)] and list(r.future) == [values.get(j) for j in range(k + 1, k + 25)]
+
+
 def test_zones_at_their_edges(spark):
     refs = [40, 50, 50.001, 62.5, 62.6, 97.5, 97.6, 153, 153.1, 238, 238.1, 400]
     pairs = [(float(r), float(p)) for r in refs for p in np.linspace(0, 420, 90)] + [(None, 1.0), (1.0, None)]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotline.sources.readings import SLOT_SECONDS, participant_id
 from slotline.sources.tables import epoch_seconds, finite
@@ -78,6 +81,33 @@ def windows(grid: DataFrame, value: str, first: int, last: int, block: int = 576
     return rows.select(*KEYS, slot.alias("slot"), F.slice("_dense", (slot - F.col("_from") + first + 1).cast("int"), F.lit(last - first + 1)).alias("window"))
 
 
+@F.pandas_udf(T.StructType([T.StructField("filled", T.ArrayType(T.DoubleType())), T.StructField("next", T.ArrayType(T.IntegerType()))]))
+def _filled_dense(dense: pd.Series) -> pd.DataFrame:
+    """Each array filled on the line between recorded entries, and for each place that of the first recorded entry from there on."""
+    filled, following = [], []
+    for a in dense:
+        x = np.asarray(a, float)
+        at = np.flatnonzero(~np.isnan(x))
+        filled.append(np.interp(np.arange(len(x)), at, x[at]) if len(at) else x)
+        following.append(np.append(at, len(x))[np.searchsorted(at, np.arange(len(x)))].astype("int32"))
+    return pd.DataFrame({"filled": filled, "next": following})
+
+
+def filled_windows(grid: DataFrame, value: str, width: int, sentinel: float = -1.0, block: int = 576) -> DataFrame:
+    """Every row with a recorded value: source_file, id, slot, ``filled`` and ``marked``, the last ``width`` slots as ``fill_window`` gives them, without and with ``sentinel``.
+
+    The line of a gap within a window is the same in all windows, so each block is filled once;
+    before a window's first recorded entry stands that entry, whatever lies before the window.
+    """
+    blocks = _dense_blocks(grid, value, width - 1, 0, block).withColumn("_line", _filled_dense("_dense")).withColumn("_dense", F.transform("_dense", lambda v: F.coalesce(v, F.lit(sentinel))))
+    rows = blocks.select(*KEYS, F.explode(F.filter("_own", lambda x: x["v"].isNotNull())).alias("_row"), "_from", "_dense", "_line")
+    begin = (F.col("_row.slot") - F.col("_from") - width + 1).cast("int")
+    lead = F.get("_line.next", begin) - begin
+    line = F.col("_line.filled")
+    filled = F.concat(F.array_repeat(F.get(line, begin + lead), lead), F.slice(line, begin + lead + 1, F.lit(width) - lead))
+    return rows.select(*KEYS, F.col("_row.slot").alias("slot"), filled.alias("filled"), F.slice("_dense", begin + 1, F.lit(width)).alias("marked"))
+
+
 def ordinal_from_start(readings: DataFrame, step: int = SLOT_SECONDS) -> DataFrame:
     """Rows on the phase of their participant's first date, with ``i`` = whole steps since it; others are left out."""
     rows = readings.filter(F.col("date").isNotNull()).select("row_pos", "source_file", participant_id().alias("id"), epoch_seconds("date").alias("sec"))

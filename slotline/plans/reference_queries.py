@@ -148,8 +148,7 @@ def longest_gap(spark, d):
 
 @query()
 def window_fill(spark, d):
-    w = G.over_slots(_grid(spark, d, "cgm"), lambda f: {"history": G.slots_array("cgm", -23, 0, f)}, 23, 0).filter("slot % 12 = 0 and cgm is not null")
-    return w.select("source_file", "id", "slot", G.fill_window(F.col("history")).alias("filled"), G.fill_window(F.col("history"), -1.0).alias("marked"))
+    return G.filled_windows(_grid(spark, d, "cgm"), "cgm", 288)
 
 
 # --- segments and eligibility ----------------------------------------------------------------

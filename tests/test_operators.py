@@ -127,6 +127,18 @@ def test_whole_histories_and_futures_of_every_slot(spark, monkeypatch):
         assert list(r.history) == [values.get(j) for j in range(k - 287, k + 1)] and list(r.future) == [values.get(j) for j in range(k + 1, k + 25)]
 
 
+def test_window_fill_of_whole_histories(spark, monkeypatch):
+    grid, values = long_gaps(spark)
+    monkeypatch.setattr(R, "_grid", lambda *_: grid)
+    got = {r.slot: r for r in R.window_fill(spark, "").collect()}
+    assert got.keys() == {k for k, v in values.items() if v is not None}  # every slot with a value, not one in an hour
+    for k, r in got.items():
+        a = [values.get(j) for j in range(k - 287, k + 1)]
+        at = [i for i, x in enumerate(a) if x is not None]
+        assert list(r.filled) == pytest.approx(np.interp(range(288), at, [a[i] for i in at]))
+        assert list(r.marked) == [-1.0 if x is None else x for x in a]
+
+
 def test_zones_at_their_edges(spark):
     refs = [40, 50, 50.001, 62.5, 62.6, 97.5, 97.6, 153, 153.1, 238, 238.1, 400]
     pairs = [(float(r), float(p)) for r in refs for p in np.linspace(0, 420, 90)] + [(None, 1.0), (1.0, None)]

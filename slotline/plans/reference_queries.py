@@ -394,6 +394,24 @@ def range_window_audit(spark, d):
     return w.filter("slot % 36 = 0").select("source_file", "id", "slot", "n_back", "meals", "mean_back")
 
 
+_SIDES = (("back", -288, 0), ("ahead", 1, 24))
+
+
+@query(
+    f"with {_grid_sql('cgm', 'carbs')} select source_file, id, slot, "
+    + ", ".join(f"count(cgm) {_frame(a, b)} as n_{n}, cast(count(case when carbs > 0 then 1 end) {_frame(a, b)} as bigint) as meals_{n}, round(avg(cgm) {_frame(a, b)} + 1e-7, 4) as mean_{n}" for n, a, b in _SIDES)
+    + " from g"
+)
+def range_window_audit_whole(spark, d):
+    """[t - 24 h, t] and (t, t + 120 min] of every slot; ``range_window_audit`` is a sample, one slot in three hours and looking back only, that a range join can check."""
+
+    def columns(f):
+        of = lambda n, w: {f"n_{n}": F.count("cgm").over(w), f"meals_{n}": F.count(F.when(F.col("carbs") > 0, 1)).over(w), f"mean_{n}": F.round(F.avg("cgm").over(w) + 1e-7, 4)}
+        return {k: v for n, a, b in _SIDES for k, v in of(n, f(a, b)).items()}
+
+    return G.over_slots(_grid(spark, d, "cgm", "carbs"), columns, 288, 24).drop("cgm", "carbs")
+
+
 @query("select source_file, id, count(*) as n from (select source_file, id, date from template where row_pos % 3 <> 0 union all select source_file, id, date from template where row_pos % 3 <> 1) group by source_file, id, date having count(*) > 1")
 def shard_overlap(spark, d):
     t = table(spark, d, "template", ["row_pos", *_KEY])

@@ -139,6 +139,19 @@ def test_window_fill_of_whole_histories(spark, monkeypatch):
         assert list(r.marked) == [-1.0 if x is None else x for x in a]
 
 
+def test_audit_looks_both_ways_from_every_slot(spark, monkeypatch):
+    grid, values = long_gaps(spark)
+    monkeypatch.setattr(R, "_grid", lambda *_: grid.withColumn("carbs", F.when(F.col("slot") % 50 == 0, 20.0).otherwise(0.0)))
+    got = {r.slot: r for r in R.range_window_audit_whole(spark, "").collect()}
+    assert got.keys() == values.keys()
+    for k, r in got.items():
+        for name, a, b in (("back", k - 288, k), ("ahead", k + 1, k + 24)):
+            there = [j for j in range(a, b + 1) if j in values]
+            seen = [values[j] for j in there if values[j] is not None]
+            assert (r[f"n_{name}"], r[f"meals_{name}"]) == (len(seen), sum(j % 50 == 0 for j in there))
+            assert r[f"mean_{name}"] == (pytest.approx(np.mean(seen), abs=1e-4) if seen else None)
+
+
 def test_zones_at_their_edges(spark):
     refs = [40, 50, 50.001, 62.5, 62.6, 97.5, 97.6, 153, 153.1, 238, 238.1, 400]
     pairs = [(float(r), float(p)) for r in refs for p in np.linspace(0, 420, 90)] + [(None, 1.0), (1.0, None)]

@@ -183,6 +183,13 @@ def contiguity(spark, d):
     return c.groupBy("source_file", "id").agg(F.count_if((F.col("back") == 12) & (F.col("ahead") == 6)).alias("contiguous"), F.count("*").alias("n"))
 
 
+@query(f"with {_grid_sql('cgm')}, c as (select source_file, id, count(cgm) {_frame(-287, 0)} as back, count(cgm) {_frame(1, 24)} as ahead from g) select source_file, id, count(*) filter (back = 288 and ahead = 24) as contiguous, count(*) as n from c group by all")
+def contiguity_312(spark, d):
+    """Strict contiguity over the reference's 312 slots; ``contiguity`` looks at 12 back and 6 ahead only."""
+    c = G.over_slots(_grid(spark, d, "cgm"), lambda f: {"back": F.count("cgm").over(f(-287, 0)), "ahead": F.count("cgm").over(f(1, 24))}, 287, 24)
+    return c.groupBy("source_file", "id").agg(F.count_if((F.col("back") == 288) & (F.col("ahead") == 24)).alias("contiguous"), F.count("*").alias("n"))
+
+
 _ELIGIBLE = f"""with {_grid_sql('cgm', 'insulin', 'carbs')},
 m as (select *, case when cgm is not null then slot end as c, case when insulin is not null then slot end as i, case when carbs > 0 then 1 else 0 end as ev from g),
 p as (select *, case when c - max(c) {_frame(-288, -1)} - 1 > 5 then max(c) {_frame(-288, -1)} end as cf, case when i - max(i) {_frame(-288, -1)} - 1 > 23 then max(i) {_frame(-288, -1)} end as jf from m),

@@ -152,6 +152,14 @@ def test_audit_looks_both_ways_from_every_slot(spark, monkeypatch):
             assert r[f"mean_{name}"] == (pytest.approx(np.mean(seen), abs=1e-4) if seen else None)
 
 
+def test_contiguity_over_the_whole_window(spark, monkeypatch):
+    gap = 700
+    monkeypatch.setattr(R, "_grid", lambda *_: grid_of(spark, [k for k in range(1400) if k != gap], [1.0] * 1399))
+    want = sum(0 <= k - 287 and k + 24 < 1400 and not k - 287 <= gap <= k + 24 for k in range(1400))
+    got = R.contiguity_312(spark, "").first()
+    assert (got.contiguous, got.n) == (want, 1399)
+
+
 def test_zones_at_their_edges(spark):
     refs = [40, 50, 50.001, 62.5, 62.6, 97.5, 97.6, 153, 153.1, 238, 238.1, 400]
     pairs = [(float(r), float(p)) for r in refs for p in np.linspace(0, 420, 90)] + [(None, 1.0), (1.0, None)]

@@ -55,6 +55,12 @@ def _members(log_odds: np.ndarray, sources: list[str], label_weight: float):
     return run
 
 
+def _tokens_of(members: DataFrame, sources: list[str]) -> np.ndarray:
+    """Tokens of each of the sources (at most ``MAX_SOURCES``), however many others the corpus has."""
+    have = {r.source: r.n for r in members.filter(F.col("source").isin(sources)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    return np.array([have.get(s) or 0 for s in sources], float)
+
+
 class SourceMix:
     """The mix of ``documents`` (doc_id, text, source) for ``targets`` (source, target_share, max_repeats).
 
@@ -79,8 +85,7 @@ class SourceMix:
         odds = _log_odds(narrow, self.sources, code, most)
         coded = code.encode(narrow).select("doc_id", "source", "ids")
         self.members = coded.mapInPandas(_members(odds, self.sources, label_weight), "doc_id bigint, source string, n_tokens bigint, member array<double>").checkpoint()
-        have = {r.source: r.n for r in self.members.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(100_000).collect()}
-        self.tokens = np.array([have.get(s) or 0 for s in self.sources], float)
+        self.tokens = _tokens_of(self.members, self.sources)
         self.total = float(self.members.agg(F.sum("n_tokens")).first()[0] or 0)
         self.history: list[np.ndarray] = []
         self.factors = np.ones(len(self.sources))

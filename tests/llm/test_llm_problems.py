@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slotline.llm.group_split import assign_splits, components, group_split, must_share, split_report
 from slotline.llm.mail_text import own_text
-from slotline.llm.mixing import SourceMix
+from slotline.llm.mixing import SourceMix, _tokens_of
 from slotline.llm.proportional_sample import ProportionalSample, seats
 from slotline.llm.template_residue import ResidueDetector, clean_corpus, mask, segments
 from slotline.llm.tokens import encode_word, encoder
@@ -124,6 +124,11 @@ def test_mix_meets_reachable_targets(spark):
 MAIL = "From: A <a@x.test>\nSubject: s\nMIME-Version: 1.0\nContent-Type: {}\nContent-Transfer-Encoding: {}\n\n{}"
 
 
+def test_tokens_of_sources_among_very_many(spark):
+    members = spark.range(250_000).selectExpr("concat('s', id) as source", "id + 1 as n_tokens")
+    assert _tokens_of(members, [f"s{k}" for k in range(0, 250_000, 5000)] + ["none"]).tolist() == [k + 1.0 for k in range(0, 250_000, 5000)] + [0.0]
+
+
 def test_own_text():
     assert own_text(None).lines == own_text("").lines == own_text(" \n").lines == []
     assert own_text(MAIL.format("text/plain", "base64", "SGVsbG8K\nPiBxdW90ZWQK")).lines == ["Hello"]

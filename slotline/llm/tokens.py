@@ -1,29 +1,29 @@
 """Byte-level BPE of a whole corpus inside the JVM: ranked merges folded with higher-order functions.
 
-A text is cut into words by the tokenizer's pattern. A word that is a token is looked up; of the
-others the distinct ones (of each stretch of ``STRETCH`` words) are turned into byte arrays, and a
-fold merges the adjacent pair of lowest rank until none is left, as the vocabulary's merge list
-says. Both lookups go against literals: the merge ranks and the whole tokens, as arrays of small
-maps addressed by a hash, since Spark searches one large map from its start. ``learnt`` adds the
-commonest other words of a bounded sample, folded once, to the second; which words those are
-changes the work only, never the ids.
-
-No shuffle and no Python in the hot path; the work is in proportion to the text, whatever its words
-are. A word of more than ``LONGEST`` bytes, for which a fold over pairs would be quadratic, goes
-through a heap in an Arrow-batched function that gives the same ids.
+A text is cut into words by the tokenizer's pattern. A word that is a token is looked up; others are
+turned into byte arrays and cut between two bytes that stand together in no token, since no merge
+can cross there. Of each piece a fold merges the adjacent pair of lowest rank until none is left, as
+the vocabulary's merge list says. All lookups go against literals: the merge ranks, the whole tokens
+and the pairs of bytes, as arrays (of small maps addressed by a hash, since Spark searches one large
+map from its start). ``learnt`` adds the commonest distinct other words and pieces of a bounded
+sample, folded once, to the known tokens; which those are changes the work only, never the ids.
+Words in no table are hardly ever repeated within a text, so they are folded where they stand.
+
+No shuffle and no Python but for the bounded sample; the work is in proportion to the text,
+whatever its words are. A piece of more than ``WINDOW`` bytes, for which one fold over all pairs would be
+quadratic, is folded window by window: the ids so far stay but for the last few, which are folded
+again with the next window's bytes.
 """
 
 from __future__ import annotations
 
 import copy
-import heapq
 import json
 import os
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 #: White space of Unicode, as the tokenizer's pattern means it (fixed values).
 SPACE = r"\t-\r \x85\xA0  -     　"
 #: The pattern of the byte-level vocabulary (fixed value), with white space spelt out.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?(?:\p{{L}}+|\p{{N}}+|[^{SPACE}\p{{L}}\p{{N}}]+)|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 TOKENIZERS = "/opt/tokenizers"
 BUCKETS = 32749
-STRETCH = 512
-LONGEST = 256
+WINDOW, TAIL = 256, 16
 NEVER = (1 << 17) - 1
+TOKEN_BITS, PLACE_BITS = 17, 28
 
 
 @dataclass(frozen=True)
@@ -76,26 +76,6 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(tuple(tokens), tuple(vocab[bytes([b])] for b in range(256)), merges)
 
 
-def encode_word(word: bytes, v: Vocabulary) -> list[int]:
-    """The ids of one word by a heap of pairs: n log n, for words of any length."""
-    ids = [v.byte_ids[b] for b in word]
-    nxt, prev, alive = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [True] * len(ids)
-    heap = [(m, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (m := v.merges.get((ids[i], ids[i + 1]))) is not None]
-    heapq.heapify(heap)
-    while heap:
-        made, i, left, right = heapq.heappop(heap)
-        j = nxt[i] if alive[i] else len(ids)
-        if j >= len(ids) or ids[i] != left or ids[j] != right:
-            continue
-        ids[i], alive[j], nxt[i] = made, False, nxt[j]
-        if nxt[i] < len(ids):
-            prev[nxt[i]] = i
-        for a in (prev[i], i):
-            if a >= 0 and nxt[a] < len(ids) and (m := v.merges.get((ids[a], ids[nxt[a]]))) is not None:
-                heapq.heappush(heap, (m, a, ids[a], ids[nxt[a]]))
-    return [t for t, ok in zip(ids, alive, strict=True) if ok]
-
-
 def _word_bucket(word: str) -> int:
     """What Spark's ``pmod(xxhash64(word), BUCKETS)`` gives; 42 is its seed."""
     h = xxhash.xxh64_intdigest(word.encode(), seed=42)
@@ -145,96 +125,130 @@ class Encoder:
             except UnicodeDecodeError:
                 continue  # no word of a text is half a character
         words.pop("", None)
-        tag = f"slotline_{zlib.crc32(self.path.encode()):08x}"
-        self._tag, self._whole = tag, {w: [i] for w, i in words.items()}
-        self._words = self._word_table(spark, self._whole, "words")
-        self._pairs = _literal(spark, f"{tag}_pairs", _buckets({a * 65536 + b: i for (a, b), i in v.merges.items()}, lambda k: k % BUCKETS), "array<map<bigint,int>>", ("bigint", "int"))
-        self._bytes = _literal(spark, f"{tag}_bytes", list(v.byte_ids), "array<int>")
-        self._pieces = _literal(spark, f"{tag}_pieces", [t.hex() for t in v.tokens], "array<string>")
-
-    def _word_table(self, spark: SparkSession, words: dict[str, list[int]], name: str) -> Column:
-        return _literal(spark, f"{self._tag}_{name}", _buckets(words, _word_bucket), "array<map<string,array<int>>>", ("string", "array<int>"))
+        self._tag = f"slotline_{zlib.crc32(self.path.encode()):08x}"
+        self._whole = {w: [i] for w, i in words.items()}
+        self._parts = {t.decode("latin-1"): [i] for i, t in enumerate(v.tokens) if t}
+        self._words, self._known = self._table(spark, self._whole, "words"), self._table(spark, self._parts, "known")
+        self._pairs = self._variable(spark, "pairs", _buckets({a * 65536 + b: i for (a, b), i in v.merges.items()}, lambda k: k % BUCKETS), "array<map<bigint,int>>", ("bigint", "int"))
+        together = {a * 256 + b for t in v.tokens for a, b in zip(t, t[1:], strict=False)}
+        self._together = self._variable(spark, "together", [k in together for k in range(1 << 16)], "array<boolean>")
+        self._bytes = self._variable(spark, "bytes", list(v.byte_ids), "array<int>")
+        self._lengths = self._variable(spark, "lengths", [len(t) for t in v.tokens], "array<int>")
+        self._pieces = self._variable(spark, "pieces", [t.hex() for t in v.tokens], "array<string>")
+
+    def _variable(self, spark: SparkSession, name: str, value: list, kind: str, key: tuple[str, str] | None = None) -> Column:
+        return _literal(spark, f"{self._tag}_{name}", value, kind, key)
+
+    def _table(self, spark: SparkSession, entries: dict[str, list[int]], name: str) -> Column:
+        return self._variable(spark, name, _buckets(entries, _word_bucket), "array<map<string,array<int>>>", ("string", "array<int>"))
 
     def learnt(self, df: DataFrame, text: str = "text", most_texts: int = 2000, most_words: int = 20_000) -> Encoder:
-        """This encoder with the ids of up to ``most_words`` words that are no tokens at hand: those in most of about ``most_texts`` texts.
+        """This encoder with the ids of common words and pieces that are no tokens at hand, at most ``most_words`` of each.
 
-        The sample is bounded and chosen by a hash of the texts; every other word is folded where it stands.
+        They are the commonest of about ``most_texts`` texts (at most twice as many), those of least
+        hash; every other word and piece is folded where it stands.
         """
+        fine = 1 << 40
         share = min(1.0, most_texts / max(1, df.count()))
-        chosen = df.select(text).filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * most_texts)
-        words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
-        other = F.array_distinct(F.filter(words, lambda w: self._token(w).isNull() & (F.octet_length(w) <= LONGEST)))
-        common = chosen.select(F.explode(other).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(most_words)
-        found = {r.w: list(r.ids) for r in common.select("w", self._fold(F.col("w")).alias("ids")).collect()}
+        at = F.pmod(F.xxhash64(text), F.lit(fine))
+        chosen = df.select(text).filter(at < int(share * fine) + 1).orderBy(at, text).limit(2 * most_texts)
+
+        def common(found: DataFrame, fold) -> dict[str, list[int]]:
+            top = found.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most_words)
+            return {r.w: list(r.ids) for r in top.select("w", fold(F.col("w")).alias("ids")).collect()}
+
+        other = chosen.select(F.explode(F.array_distinct(F.filter(self._cut(F.col(text)), lambda w: self._token(w).isNull()))).alias("w"))
         out = copy.copy(self)
-        out._words = self._word_table(df.sparkSession, self._whole | found, "common")
+        words = common(other.filter(F.octet_length("w") <= WINDOW), self._coded)
+        out._words = self._table(df.sparkSession, self._whole | words, "common")
+        pieces = other.filter(out._token(F.col("w")).isNull()).select(F.explode(self._crossable(F.col("w"))).alias("w"))
+        pieces = common(pieces.filter((F.octet_length("w") <= WINDOW) & self._lookup(self._known, F.col("w")).isNull()), self._fold)
+        out._known = self._table(df.sparkSession, self._parts | pieces, "known_common")
         return out
 
+    @staticmethod
+    def _cut(text: Column) -> Column:
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
+
+    @staticmethod
+    def _lookup(table: Column, word: Column) -> Column:
+        return F.element_at(F.get(table, F.pmod(F.xxhash64(word), F.lit(BUCKETS))), word)
+
     def _token(self, word: Column) -> Column:
         """Ids of a word that is a token or a common word, else NULL."""
-        return F.element_at(F.get(self._words, F.pmod(F.xxhash64(word), F.lit(BUCKETS))), word)
+        return self._lookup(self._words, word)
 
     def _ranked(self, left: Column, right: Column) -> Column:
         """Merged id of a pair, which is its rank; ``NEVER`` if the pair is not in the merge list or lacks a side."""
         key = left * 65536 + right
         return F.coalesce(F.element_at(F.get(self._pairs, key % BUCKETS), key).cast("bigint"), F.lit(NEVER))
 
-    def _fold(self, word: Column) -> Column:
-        """Ids of a word: its bytes, merged pair by pair in the order of the ranks.
+    def _crossable(self, word: Column) -> Column:
+        """The pieces of a word, one letter a byte, cut between bytes that stand together in no token."""
+
+        def cut(latin: Column, codes: Column) -> Column:
+            starts = F.filter(F.transform(codes, lambda c, i: F.when(F.get(self._together, F.get(codes, i - 1) * 256 + c), F.lit(None)).otherwise(i + 1)), lambda i: i.isNotNull())
+            return _let(starts, lambda s: F.transform(s, lambda at, i: F.substring(latin, at, F.coalesce(F.get(s, i + 1), F.size(codes) + 1) - at)))
+
+        return _let(F.decode(word.cast("binary"), "ISO-8859-1"), lambda latin: _let(F.transform(F.split(latin, ""), F.ascii), lambda codes: cut(latin, codes)))
+
+    def _coded(self, word: Column) -> Column:
+        """Ids of a word that is no token: those of its pieces, known or folded."""
+        folded = lambda p: F.when(F.length(p) > WINDOW, self._long(p)).otherwise(self._fold(p))
+        return F.flatten(F.transform(self._crossable(word), lambda p: F.coalesce(self._lookup(self._known, p), folded(p))))
+
+    def _long(self, piece: Column) -> Column:
+        """Ids of a piece of more than ``WINDOW`` bytes, window by window.
+
+        The last ids before a window are folded again with it; if the first of them comes out as it
+        was, then all neighbours are those of a valid encoding, and so is the whole. If not, all are
+        folded again.
+        """
+
+        def step(ids: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(ids, F.greatest(F.size(ids) - TAIL + 1, F.lit(1)), F.lit(TAIL)), F.lit(0), lambda n, t: n + F.get(self._lengths, t))
+            again = _let(before, lambda b: self._fold(F.substring(piece, i * WINDOW - b + 1, b + WINDOW)))
+            kept = F.greatest(F.size(ids) - TAIL, F.lit(0))
+            valid = lambda a: (kept == 0) | (F.get(a, F.lit(0)) == F.get(ids, kept))
+            return _let(again, lambda a: F.when(valid(a), F.concat(F.slice(ids, F.lit(1), kept), a)).otherwise(self._fold(F.substring(piece, F.lit(1), (i + 1) * WINDOW))))
+
+        windows = F.sequence(F.lit(1), F.floor((F.length(piece) - 1) / WINDOW).cast("int"))
+        return F.aggregate(windows, self._fold(F.substring(piece, F.lit(1), F.lit(WINDOW))), step)
+
+    def _fold(self, piece: Column) -> Column:
+        """Ids of a piece: its bytes, merged pair by pair in the order of the ranks.
 
         The fold's array holds one number a part: rank of the part with its right neighbour, then
         its place, then its id, so that the least number is the pair to merge next.
         """
-        start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(self._bytes, F.ascii(c)).cast("bigint"))
-        pack = lambda rank, place, token: F.shiftleft(rank, 40) + place + token
-        place = lambda x: x.bitwiseAND(F.lit(4095 << 20))
-        token = lambda x: x.bitwiseAND(F.lit((1 << 20) - 1))
+        start = F.transform(F.split(piece, ""), lambda c: F.get(self._bytes, F.ascii(c)).cast("bigint"))
+        pack = lambda rank, place, token: F.shiftleft(rank, TOKEN_BITS + PLACE_BITS) + place + token
+        place = lambda x: x.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << TOKEN_BITS))
+        token = lambda x: x.bitwiseAND(F.lit((1 << TOKEN_BITS) - 1))
 
         def first(s: Column) -> Column:
-            return F.transform(s, lambda t, i: pack(self._ranked(t, F.get(s, i + 1)), F.shiftleft(i.cast("bigint"), 20), t))
+            return F.transform(s, lambda t, i: pack(self._ranked(t, F.get(s, i + 1)), F.shiftleft(i.cast("bigint"), TOKEN_BITS), t))
 
         def step(parts: Column, _: Column) -> Column:
             def merge(least: Column) -> Column:
                 def at(i: Column) -> Column:
-                    made, after, before = F.shiftright(least, 40), token(F.get(parts, i + 1)), F.get(parts, i - 2)
+                    made, after, before = F.shiftright(least, TOKEN_BITS + PLACE_BITS), token(F.get(parts, i + 1)), F.get(parts, i - 2)
                     now = pack(self._ranked(made, after), place(least), made)
                     rest = F.slice(parts, i + 2, F.size(parts))
                     return F.when(i == 1, F.concat(F.array(now), rest)).otherwise(
                         F.concat(F.slice(parts, F.lit(1), i - 2), F.array(pack(self._ranked(token(before), made), place(before), token(before)), now), rest)
                     )
 
-                return F.when(least >= NEVER << 40, parts).otherwise(_let(F.array_position(parts, least).cast("int"), at))
+                return F.when(least >= NEVER << (TOKEN_BITS + PLACE_BITS), parts).otherwise(_let(F.array_position(parts, least).cast("int"), at))
 
             return _let(F.array_min(parts), merge)
 
         folded = _let(start, lambda s: F.aggregate(F.slice(s, 1, F.size(s) - 1), first(s), step))
         return F.transform(folded, lambda x: token(x).cast("int"))
 
-    def _stretch(self, words: Column, long_words: Column, long_ids: Column) -> Column:
-        """Ids of a stretch of words, one array per word; each distinct word is folded once."""
-
-        def with_tokens(s: Column) -> Column:
-            w, t = s["w"], s["t"]
-            fresh = F.array_distinct(F.filter(F.zip_with(w, t, lambda x, i: F.when(i.isNull(), x)), lambda x: x.isNotNull()))
-
-            def with_fresh(f: Column) -> Column:
-                coded = F.transform(f, lambda x: F.when(F.octet_length(x) > LONGEST, F.get(long_ids, (F.array_position(long_words, x) - 1).cast("int"))).otherwise(self._fold(x)))
-                pick = lambda c: F.flatten(F.zip_with(w, t, lambda x, i: F.coalesce(i, F.get(c, (F.array_position(f, x) - 1).cast("int")))))
-                return _let(coded, pick)
-
-            return _let(fresh, with_fresh)
-
-        return _let(F.struct(words.alias("w"), F.transform(words, self._token).alias("t")), with_tokens)
-
-    def _long(self):
-        path = self.path
-
-        @F.pandas_udf("array<array<int>>")
-        def encode_long(column: pd.Series) -> pd.Series:
-            v = load(path)
-            return column.map(lambda words: [encode_word(w.encode(), v) for w in words])
-
-        return encode_long
+    def ids(self, text: Column) -> Column:
+        """array<int> of a text's token ids; an empty list for NULL and empty texts."""
+        return F.flatten(F.transform(self._cut(text), lambda w: F.coalesce(self._token(w), self._coded(w))))
 
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """Adds ``ids``: array<int> of the text's token ids; an empty list for NULL and empty texts.
@@ -242,13 +256,7 @@ class Encoder:
         Whole texts of any length; special tokens' strings are ordinary text; repeated rows come out
         as often as they are; other columns are left alone.
         """
-        words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
-        cut = df.withColumn("_words", words).withColumn("_long", F.array_distinct(F.filter("_words", lambda w: F.octet_length(w) > LONGEST)))
-        cut = cut.withColumn("_long_ids", self._long()("_long"))
-        n = F.size("_words")
-        stretches = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / STRETCH).cast("int")), lambda i: F.slice("_words", i * STRETCH + 1, STRETCH))
-        parts = F.transform(stretches, lambda s: self._stretch(s, F.col("_long"), F.col("_long_ids")))
-        return cut.withColumn(ids, F.when(n == 0, F.array().cast("array<int>")).otherwise(F.flatten(parts))).drop("_words", "_long", "_long_ids")
+        return df.withColumn(ids, self.ids(F.col(text)))
 
     def decode(self, df: DataFrame, ids: str = "ids", text: str = "text") -> DataFrame:
         """Adds ``text``: the concatenated bytes of the ids, read as UTF-8."""

@@ -10,7 +10,7 @@ from slotline.llm.mail_text import own_text
 from slotline.llm.mixing import SourceMix, _tokens_of
 from slotline.llm.proportional_sample import ProportionalSample, seats
 from slotline.llm.template_residue import ResidueDetector, clean_corpus, mask, segments
-from slotline.llm.tokens import encode_word, encoder
+from slotline.llm.tokens import encoder
 
 
 def naive_seats(available, share, floor, size):
@@ -98,8 +98,26 @@ def test_tokens_are_the_librarys(spark):
     back = e.decode(coded, text="again").collect()
     assert all(row.again == (row.text or "") for row in back)
     assert e.encode(df.limit(0)).count() == 0
-    for i in range(0, len(e.vocabulary.tokens), 501):
-        assert encode_word(e.vocabulary.tokens[i], e.vocabulary) == [i] or i == 50256
+
+
+def test_long_words_and_learnt_tables_give_the_librarys_ids(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    e = encoder(spark)
+    reference = tokenizers.Tokenizer.from_file(e.path)
+    reference.encode_special_tokens = True
+    r = random.Random(5)
+    texts = ["x" + "a" * 3001, "abc" * 900, "".join(r.choice("abcdeinorst") for _ in range(3000)), "é" * 400 + "日本語" * 200, "-" * 2000, "q" + " " * 1003 + "y", "a" * 256, "a" * 257]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    for code in (e, e.learnt(df, most_texts=4)):
+        assert all(row.ids == reference.encode(row.text, add_special_tokens=False).ids for row in code.encode(df).collect())
+
+
+def test_cuts_are_where_no_token_crosses(spark):
+    e = encoder(spark)
+    assert spark.createDataFrame([("QmFzZTYéK",)], "w string").select(F.array_join(e._crossable(F.col("w")), "").alias("j")).first().j == "QmFzZTYéK".encode().decode("latin-1")
+    together = {(a, b) for t in e.vocabulary.tokens for a, b in zip(t, t[1:], strict=False)}
+    for (a, b), _ in e.vocabulary.merges.items():
+        assert (e.vocabulary.tokens[a][-1], e.vocabulary.tokens[b][0]) in together
 
 
 def test_mix_meets_reachable_targets(spark):

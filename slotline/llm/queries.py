@@ -66,7 +66,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_report(spark, d).filter(~F.col("reachable")).select("source")
+    return _mix(spark, d).sources_table().filter(~F.col("reachable")).select("source")
 
 
 def p10_marks(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,7 +129,14 @@ def test_mix_meets_reachable_targets(spark):
     mix = SourceMix(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), targets)
     report = {x.source: x for x in mix.report().collect()}
     assert not report["c"].reachable and report["a"].reachable and report["b"].reachable and report["gone"].tokens == 0
-    assert report["c"].mixed_tokens == 2 * report["c"].tokens
+    assert report["c"].mixed_tokens == 2 * report["c"].tokens and report["c"].lacking_tokens == pytest.approx(report["c"].wanted_tokens - 2 * report["c"].tokens)
+    total = mix.total - sum(x.lacking_tokens for x in report.values())
+    assert sum(x.rated_tokens for x in report.values()) == pytest.approx(total, rel=1e-6)  # the corpus less what is lacking
+    right, commonest, n = mix.membership.held_out
+    assert mix.membership.weight > 0 and right > 0.95 > commonest and n > 100  # the tokens tell the domain here
+    of_text = mix.membership.of(np.array(encoder(spark).encode(spark.createDataFrame([("visit letter visit",)], "text string")).first().ids), -1)
+    assert mix.sources[int(np.argmax(of_text))] == "b"
+    assert all(x.expected_tokens == pytest.approx(x.rated_tokens, rel=0.05, abs=0.02 * mix.total) for x in report.values())
     caps = {"a": 1, "b": 3, "c": 2}
     rows = mix.rows().collect()
     for name in "ab":  # the rates meet the target; whole repeats do within the noise of rounding
@@ -139,6 +147,15 @@ def test_mix_meets_reachable_targets(spark):
     assert len(rows) == 600 and all(0 <= x.copies <= caps[x.source] for x in rows)
 
 
+def test_mix_of_nothing(spark):
+    documents, targets = spark.createDataFrame([(1, "a b", "x"), (2, None, None)], "doc_id bigint, text string, source string"), spark.createDataFrame([("x", 0.5, 2), ("y", 0.1, None)], "source string, target_share double, max_repeats bigint")
+    assert SourceMix(documents, targets.limit(0)).report().count() == 0
+    none = SourceMix(documents.limit(0), targets)
+    assert none.rows().count() == 0 and [r.tokens for r in none.report().collect()] == [0, 0]
+    one = {r.source: r.reachable for r in SourceMix(documents, targets).sources_table().collect()}
+    assert one == {"x": True, "y": False}
+
+
 MAIL = "From: A <a@x.test>\nSubject: s\nMIME-Version: 1.0\nContent-Type: {}\nContent-Transfer-Encoding: {}\n\n{}"
 
 

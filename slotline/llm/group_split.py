@@ -1,18 +1,25 @@
 """Splits that keep related records together.
 
 Records that share an entity are connected; components are found by alternating large-star and
-small-star steps, and a hash of the component's name falls into one of the splits' ranges.
+small-star steps. The hash of a component's name gives its place in a random order, and the splits'
+ranges are cut along that order at their shares of the rows, so that proportions hold in rows and
+not in components. The few components that alone hold a visible part of the rows are placed before,
+largest first, each where most rows are still wanted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotline.session import ensure_checkpoint_dir
 from slotline.sources.readings import participant_id
 
 MAX_ROUNDS = 50
+MAX_SPLITS = 1000
+LARGE = 256  # components of more than one part in so many of the rows are placed by themselves: fewer than this
+BUCKETS = 4096
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -66,37 +73,62 @@ def link_nodes(links: DataFrame) -> DataFrame:
     return links.select(participant("source_file_a", "id_a").alias("a"), participant("source_file_b", "id_b").alias("b"))
 
 
-def split_ranges(targets: DataFrame) -> list[tuple[str, float, float]]:
-    """(name, from, to) of each split over [0, 1), in the order of the names; shares are scaled to sum to 1."""
-    rows = sorted((r.split_name, max(0.0, r.target_share or 0.0)) for r in targets.select("split_name", "target_share").limit(1000).collect())
-    total, at, out = sum(s for _, s in rows) or 1.0, 0.0, []
-    for name, share in rows:
-        out.append((name, at / total, (at + share) / total))
-        at += share
-    return out
+def split_shares(targets: DataFrame) -> list[tuple[str, float]]:
+    """(name, share) of each split, in the order of the names; NULL or negative shares count as 0, NULL names for nothing."""
+    rows = targets.filter(F.col("split_name").isNotNull()).groupBy("split_name").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("s")).limit(MAX_SPLITS + 1).collect()
+    if not rows or len(rows) > MAX_SPLITS:
+        raise ValueError(f"{'no' if not rows else f'more than {MAX_SPLITS}'} splits")
+    return sorted((r.split_name, float(r.s)) for r in rows)
 
 
-def split_of(component: Column, ranges: list[tuple[str, float, float]], seed: int = 2026) -> Column:
-    """The split whose range holds the hash of the component's name."""
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), component)), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
-    out = F.lit(ranges[-1][0])
-    for name, _, to in reversed(ranges[:-1]):
-        out = F.when(u < to, name).otherwise(out)
-    return out
+def place_components(sizes: DataFrame, targets: DataFrame, seed: int = 2026) -> DataFrame:
+    """component, split of ``sizes`` (component, n_rows, one row each).
+
+    The order is that of the hash of the name; a component lies in the split whose range of rows
+    holds its middle. Ranges are the splits' shares less what the large components took. The order
+    is summed up in buckets, so no task holds more than a bucket of components.
+    """
+    shares = split_shares(targets)
+    total = sizes.agg(F.sum("n_rows")).first()[0] or 0
+    weight = sum(x for _, x in shares) or 1.0
+    names, left = [n for n, _ in shares], [x / weight * total for _, x in shares]
+    large: dict[str, str] = {}
+    for r in sizes.filter(F.col("n_rows") * LARGE > total).orderBy(F.desc("n_rows"), "component").collect():  # fewer than LARGE
+        k = max(range(len(left)), key=lambda i: (left[i], -i))
+        left[k] -= r.n_rows
+        large[r.component] = names[k]
+        total -= r.n_rows
+    open_, upto, at = [max(x, 0.0) for x in left], [], 0.0
+    for x in open_:
+        at += x
+        upto.append(at / (sum(open_) or 1.0) * total)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("component"))), 1, 15)
+    rows = sizes.select("component", "n_rows", digits.alias("_u"))
+    known = sizes.sparkSession.createDataFrame(sorted(large.items()), "component string, split string")
+    small = rows.join(known.select("component"), "component", "left_anti").withColumn("_bucket", F.floor(F.conv("_u", 16, 10).cast("bigint") / 2.0**60 * BUCKETS))
+    inner = small.withColumn("_before", F.sum("n_rows").over(W.partitionBy("_bucket").orderBy("_u", "component").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_rows"))
+    starts = small.groupBy("_bucket").agg(F.sum("n_rows").alias("_n")).select("_bucket", (F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))  # at most BUCKETS rows
+    middle = F.col("_start") + F.col("_before") + F.col("n_rows") / 2
+    split = F.lit(names[-1])
+    for name, to in reversed(list(zip(names, upto, strict=True))[:-1]):
+        split = F.when(middle < to, name).otherwise(split)
+    return inner.join(starts, "_bucket").select("component", split.alias("split")).unionByName(known)
 
 
 def group_split(records: DataFrame, links: DataFrame, targets: DataFrame, seed: int = 2026) -> DataFrame:
     """Every participant with records: participant, component, split, n_rows.
 
-    All spellings of an id, and all participants that links connect, get one split. Shares are met in
-    expectation over components (see ``split_report`` for those reached). A NULL source or id is its
-    own participant ('' in its name).
+    All spellings of an id, and all participants that links connect, get one split. The splits' rows
+    differ from their shares by less than ``1 / LARGE`` of all rows unless a single component is larger
+    than its split (see ``split_report``). A NULL source or id is its own participant ('' in its name).
     """
+    ensure_checkpoint_dir(records.sparkSession)
     who = F.concat_ws("|", F.coalesce("source_file", F.lit("")), F.coalesce(participant_id(), F.lit("")))
     people = records.groupBy(who.alias("participant")).agg(F.count("*").alias("n_rows"))
     c = components(link_nodes(links))
-    named = people.join(c.withColumnRenamed("node", "participant"), "participant", "left").withColumn("component", F.coalesce("component", "participant"))
-    return named.select("participant", "component", split_of(F.col("component"), split_ranges(targets), seed).alias("split"), "n_rows")
+    named = people.join(c.withColumnRenamed("node", "participant"), "participant", "left").withColumn("component", F.coalesce("component", "participant")).checkpoint()
+    placed = place_components(named.groupBy("component").agg(F.sum("n_rows").alias("n_rows")), targets, seed)
+    return named.join(placed, "component").select("participant", "component", "split", "n_rows")
 
 
 def assign_splits(records: DataFrame, links: DataFrame, targets: DataFrame, seed: int = 2026) -> DataFrame:
@@ -107,12 +139,16 @@ def assign_splits(records: DataFrame, links: DataFrame, targets: DataFrame, seed
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
-    """split_name, target_share, n_rows, n_components, actual_share; from ``group_split``."""
-    got = assigned.groupBy("split").agg(F.sum("n_rows").alias("n_rows"), F.countDistinct("component").alias("n_components"))
+    """split_name, target_share, n_rows, n_components, actual_share, largest_component and its largest_rows; from ``group_split``.
+
+    A share that is missed by more than one part in ``LARGE`` is so because of the largest component.
+    """
+    whole = assigned.groupBy("split", "component").agg(F.sum("n_rows").alias("n"))
+    got = whole.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_components"), F.max("n").alias("largest_rows"), F.max_by("component", F.struct("n", "component")).alias("largest_component"))
     total = assigned.agg(F.sum("n_rows")).first()[0] or 1
     t = targets.join(got, targets.split_name == got.split, "left")
     n = F.coalesce("n_rows", F.lit(0))
-    return t.select("split_name", "target_share", n.alias("n_rows"), F.coalesce("n_components", F.lit(0)).alias("n_components"), (n / total).alias("actual_share"))
+    return t.select("split_name", "target_share", n.alias("n_rows"), F.coalesce("n_components", F.lit(0)).alias("n_components"), (n / total).alias("actual_share"), "largest_component", "largest_rows")
 
 
 def must_share(assigned: DataFrame) -> DataFrame:

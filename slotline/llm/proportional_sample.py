@@ -57,7 +57,8 @@ def seats(available: dict, share: dict, floor: dict, size: int) -> dict:
 
 
 def _random(columns: list[str], seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns))
+    """60 random bits of a record, as hex digits."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in columns))), 1, 15)
 
 
 class ProportionalSample:
@@ -87,30 +88,39 @@ class ProportionalSample:
         self._table = spark.createDataFrame(table, f"{category} string, target_share double, min_rows bigint, available bigint, sampled bigint, buckets bigint")
         self._records, self._identity, self._seed = records, identity, seed
 
-    def report(self) -> DataFrame:
-        """Per target category: wanted, available, sampled, actual_share, reachable (False where the target or the minimum can't be met)."""
-        wanted = F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * self.size)
-        total = max(1, sum(self.given.values()))
-        return self._table.select(
-            self.category, "target_share", "min_rows", wanted.alias("wanted"), "available", "sampled", (F.col("sampled") / total).alias("actual_share"), (F.col("available") >= wanted).alias("reachable")
-        )
+    def _ranked(self) -> DataFrame:
+        """Every record of a target category with its random place in it, ``_rank``.
 
-    def rows(self) -> DataFrame:
-        """The sampled records, with ``sample_rank`` (random place in the category) and ``sample_priority``.
-
-        The rank is worked out without gathering a category: records fall into buckets of their
-        random number, each bucket is ranked by itself, and the buckets' sizes give its start.
+        A category is never gathered: records fall into buckets of their random number, each bucket
+        is ranked by itself, and the buckets' sizes give its start.
         """
         own = F.col(f"r.`{self.category}`")
         seats_ = self._table.select(F.col(self.category).alias("_c"), F.col("target_share").alias("_share"), F.col("sampled").alias("_sampled"), F.col("buckets").alias("_buckets"))
         known = self._records.alias("r").join(F.broadcast(seats_), own.eqNullSafe(F.col("_c")))  # one row per target category, at most MAX_CATEGORIES
-        drawn = known.withColumn("_u", _random(self._identity, self._seed)).withColumn("_bucket", F.floor((F.col("_u") / 2.0**64 + 0.5) * F.col("_buckets")).cast("bigint"))
+        drawn = known.withColumn("_u", _random(self._identity, self._seed))
+        drawn = drawn.withColumn("_bucket", F.floor(F.conv("_u", 16, 10).cast("bigint") / 2.0**60 * F.col("_buckets")).cast("bigint"))
         sizes = drawn.groupBy("_c", "_bucket").agg(F.count("*").alias("_n"))
         before = F.sum("_n").over(W.partitionBy("_c").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
         starts = sizes.select(F.col("_c").alias("_d"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"))
         inner = drawn.withColumn("_rn", F.row_number().over(W.partitionBy("_c", "_bucket").orderBy("_u", *self._identity)))
-        ranked = inner.join(starts, F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_start") + F.col("_rn"))
-        chosen = ranked.filter(F.col("_rank") <= F.col("_sampled"))
+        return inner.join(starts, F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_start") + F.col("_rn"))
+
+    def report(self) -> DataFrame:
+        """Per target category: wanted, available, sampled, actual_share, reachable (False where the target or the minimum can't be met).
+
+        ``available`` and ``sampled`` are those of the drawn sample: the last rank of the category's
+        records, and how many of them were kept.
+        """
+        wanted = F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * self.size)
+        total = max(1, sum(self.given.values()))
+        drawn = self._ranked().groupBy(F.col("_c").alias("_drawn")).agg(F.max("_rank").alias("_last"), F.count_if(F.col("_rank") <= F.col("_sampled")).alias("_kept"), F.lit(1).alias("_any"))
+        t = self._table.select(self.category, "target_share", "min_rows").join(drawn, F.col(self.category).eqNullSafe(F.col("_drawn")), "left")
+        available, sampled = (F.coalesce(c, F.lit(0)).cast("bigint") for c in ("_last", "_kept"))
+        return t.select(self.category, "target_share", "min_rows", wanted.alias("wanted"), available.alias("available"), sampled.alias("sampled"), (sampled / total).alias("actual_share"), (available >= wanted).alias("reachable"))
+
+    def rows(self) -> DataFrame:
+        """The sampled records, with ``sample_rank`` (random place in the category) and ``sample_priority``."""
+        chosen = self._ranked().filter(F.col("_rank") <= F.col("_sampled"))
         return chosen.select(*(F.col(f"`{c}`") for c in self._records.columns), F.col("_rank").alias("sample_rank"), ((F.col("_rank") - 0.5) / F.col("_share")).alias("sample_priority"))
 
 

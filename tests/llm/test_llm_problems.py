@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slotline.llm.group_split import assign_splits, components, group_split, must_share, split_report
+from slotline.llm.group_split import assign_splits, components, group_split, must_share, place_components, split_report
 from slotline.llm.mail_text import own_text
 from slotline.llm.mixing import SourceMix, _tokens_of
 from slotline.llm.proportional_sample import ProportionalSample, seats
@@ -81,6 +81,22 @@ def test_splits(spark):
     assert out.count() == records.count() and sum(r.n_rows for r in split_report(people, targets).collect()) == records.count()
 
 
+def test_shares_of_rows_with_large_components(spark):
+    r = random.Random(6)
+    sizes = [("big", 3000), ("large", 900)] + [(f"c{i}", r.randint(1, 40)) for i in range(300)]
+    total = sum(n for _, n in sizes)
+    df = spark.createDataFrame(sizes, "component string, n_rows bigint").repartition(5)
+    targets = spark.createDataFrame([("train", 0.8), ("val", 0.1), ("test", 0.1), ("none", 0.0), (None, 0.5)], "split_name string, target_share double")
+    placed = {x.component: x.split for x in place_components(df, targets).collect()}
+    assert placed.keys() == {c for c, _ in sizes}
+    got = {s: sum(n for c, n in sizes if placed[c] == s) / total for s in ("train", "val", "test", "none")}
+    assert got == pytest.approx({"train": 0.8, "val": 0.1, "test": 0.1, "none": 0.0}, abs=1 / 256)
+    one = place_components(df.filter("component = 'big'"), targets).collect()
+    assert [(x.component, x.split) for x in one] == [("big", "train")] and place_components(df.limit(0), targets).count() == 0
+    with pytest.raises(ValueError):
+        place_components(df, targets.limit(0))
+
+
 TEXTS = ["", None, " ", "Hello world", "don't they'll  \n\n x", "ñandú 日本語 🇪🇺👩‍🔬   z", "<|endoftext|>", "a" * 700 + " " * 300 + "=" * 600, "0123456789" * 40, "QmFzZTY0IGlzIGZ1bg==\r\n", "Hello world"]
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotline.functions.scalar import clip
 
+#: Penalties to try, and the rows below which they are judged on all rows (fixed values).
 LAMBDAS = (1e-2, 1e-1, 1.0, 10.0, 100.0, 1e3, 1e4)
+LEAST_TRAINING, LEAST_HELD_OUT = 50, 10
 
 
 def moments(df: DataFrame, columns: Sequence[str], floor: float = 1e-8) -> DataFrame:
@@ -21,16 +24,67 @@ def moments(df: DataFrame, columns: Sequence[str], floor: float = 1e-8) -> DataF
     return df.select(F.inline(cells)).groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.when(sd < floor, 1.0).otherwise(sd).alias("sd"))
 
 
-def gram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """i, j, v = sum of the products of columns i <= j: one aggregation, d (d + 1) / 2 sums."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = df.agg(*(F.sum(F.col(a).cast("double") * F.col(b)).alias(f"_{k}") for k, (a, b) in enumerate(pairs)))
-    return one.select(F.inline(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"_{k}").alias("v")) for k, (a, b) in enumerate(pairs)))))
+@dataclass(frozen=True)
+class Packed:
+    """A feature vector in one array column, for widths at which a column each would burden the planner."""
+
+    name: str
+    width: int
+
+
+def _vector(columns: Sequence[str] | Packed, *more: Column) -> Column:
+    own = F.col(columns.name) if isinstance(columns, Packed) else F.array(*(F.col(c).cast("double") for c in columns))
+    return F.concat(own, F.array(*more)) if more else own
+
+
+def _products(d: int, parts: int):
+    """For mapInArrow: per part the products X'X of the task's rows, one row of the matrix a record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((parts, d, d))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), d)
+            recorded, part = np.isfinite(x).all(1), batch.column(1).to_numpy(zero_copy_only=False)
+            for k in range(parts):
+                own = x[recorded & (part == k)]
+                sums[k] += own.T @ own
+        at = [(k, i) for k in range(parts) for i in range(d) if sums[k, i].any()]
+        yield pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in at], pa.int32()), "i": pa.array([i for _, i in at], pa.int32()), "v": pa.array([sums[k, i] for k, i in at], pa.list_(pa.float64()))})
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over whole (part, i): their arrays added up."""
+    known: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for k, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            x = v.values.to_numpy(zero_copy_only=False)
+            known[k, i] = known[k, i] + x if (k, i) in known else x
+    yield pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in known], pa.int32()), "i": pa.array([i for _, i in known], pa.int32()), "v": pa.array(list(known.values()), pa.list_(pa.float64()))})
+
+
+def product_rows(df: DataFrame, vector: Column, width: int, part: Column | None = None, parts: int = 1) -> DataFrame:
+    """part, i, v: row ``i`` of X'X of each part (0 to ``parts`` - 1), from vectors whose entries are all finite numbers.
+
+    A matrix product per Arrow batch, one partial matrix a task, and rows of it added up as arrays:
+    the width is no matter for the plan.
+    """
+    rows = df.select(vector.alias("x"), (F.lit(0) if part is None else part).cast("int").alias("part")).filter(F.col("x").isNotNull())
+    return rows.mapInArrow(_products(width, parts), "part int, i int, v array<double>").repartition("part", "i").mapInArrow(_added, "part int, i int, v array<double>")
+
+
+def gram(df: DataFrame, columns: Sequence[str] | Packed, names: Sequence[str] | None = None) -> DataFrame:
+    """i, j, v = sum of the products of columns i <= j over the rows in which all of them are recorded."""
+    names = list(names or columns)
+    listed = F.array(*(F.lit(c) for c in names))
+    cells = product_rows(df, _vector(columns), len(names)).select(F.col("i").alias("_i"), F.posexplode("v").alias("_j", "v")).filter(F.col("_i") <= F.col("_j"))
+    return cells.select(F.get(listed, F.col("_i")).alias("i"), F.get(listed, F.col("_j")).alias("j"), "v")
 
 
 @dataclass
 class Ridge:
-    columns: list[str]
+    columns: Sequence[str] | Packed
     mean: np.ndarray
     sd: np.ndarray
     weights: np.ndarray
@@ -39,33 +93,39 @@ class Ridge:
     holdout_rmse: float | None = None
 
     def predict(self, low: float | None = None, high: float | None = None) -> Column:
-        out = F.lit(float(self.bias))
-        for c, m, s, w in zip(self.columns, self.mean, self.sd, self.weights, strict=True):
-            out = out + (F.col(c) - float(m)) / float(s) * float(w)
+        if isinstance(self.columns, Packed):
+            slope = self.weights / self.sd
+            start = float(self.bias - (self.mean * slope).sum())
+            out = F.aggregate(F.zip_with(self.columns.name, F.array(*(F.lit(float(w)) for w in slope)), lambda x, w: x * w), F.lit(start), lambda t, v: t + v)
+        else:
+            out = F.lit(float(self.bias))
+            for c, m, s, w in zip(self.columns, self.mean, self.sd, self.weights, strict=True):
+                out = out + (F.col(c) - float(m)) / float(s) * float(w)
         return out if low is None else clip(out, low, high)
 
 
-def _sums(df: DataFrame, columns: Sequence[str], y: str) -> tuple[float, np.ndarray, np.ndarray]:
-    """n, sums and products of (columns, y), from rows in which all are recorded."""
-    names = [*columns, y]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    r = df.dropna(subset=names).agg(F.count("*"), *(F.sum(F.col(c).cast("double")) for c in names), *(F.sum(F.col(a).cast("double") * F.col(b)) for a, b in pairs)).first()
-    d = len(names)
-    s, p = np.array([x or 0.0 for x in r[1 : d + 1]]), np.zeros((d, d))
-    for (a, b), v in zip(pairs, r[d + 1 :], strict=True):
-        i, j = names.index(a), names.index(b)
-        p[i, j] = p[j, i] = v or 0.0
-    return float(r[0]), s, p
+def _width(columns: Sequence[str] | Packed) -> int:
+    return columns.width if isinstance(columns, Packed) else len(columns)
+
 
+def _sums(df: DataFrame, columns: Sequence[str] | Packed, y: str, out: Column | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """n, sums and products of (columns, y), of the rows that ``out`` is false for and of those it is true for, from one pass."""
+    d = _width(columns) + 1
+    part = F.lit(0) if out is None else F.coalesce(out.cast("int"), F.lit(0))
+    found = np.zeros((2, d + 1, d + 1))
+    for r in product_rows(df, _vector(columns, F.col(y).cast("double"), F.lit(1.0)), d + 1, part, 2).collect():  # d + 1 rows a part
+        found[r.part, r.i] = r.v
+    return [(float(p[d, d]), p[d, :d], p[:d, :d]) for p in found]
 
-def _solve(n: float, s: np.ndarray, p: np.ndarray, columns: Sequence[str], penalty: float) -> Ridge:
-    d = len(columns)
+
+def _solve(n: float, s: np.ndarray, p: np.ndarray, columns: Sequence[str] | Packed, penalty: float) -> Ridge:
+    d = _width(columns)
     mean = s / max(n, 1.0)
     cov = p / max(n, 1.0) - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov)[:d], 0.0))
     sd = np.where(sd < 1e-8, 1.0, sd)
     a = cov[:d, :d] / np.outer(sd, sd) * n + penalty * np.eye(d)
-    return Ridge(list(columns), mean[:d], sd, np.linalg.solve(a, cov[:d, d] / sd * n), float(mean[d]), penalty)
+    return Ridge(columns, mean[:d], sd, np.linalg.solve(a, cov[:d, d] / sd * n), float(mean[d]), penalty)
 
 
 def _rmse(m: Ridge, n: float, s: np.ndarray, p: np.ndarray) -> float:
@@ -75,22 +135,20 @@ def _rmse(m: Ridge, n: float, s: np.ndarray, p: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (u @ p @ u + 2 * c * (u @ s) + n * c * c) / max(n, 1.0))))
 
 
-def fit_ridge(df: DataFrame, columns: Sequence[str], y: str, group: str | None = None, penalties: Sequence[float] = LAMBDAS, seed: int = 2026) -> Ridge:
+def fit_ridge(df: DataFrame, columns: Sequence[str] | Packed, y: str, group: str | None = None, penalties: Sequence[float] = LAMBDAS, seed: int = 2026) -> Ridge:
     """Ridge on standardised columns with intercept; the penalty is the best on held-out groups, the first of equals, then all rows are used.
 
-    Two passes give the sums of the training and the held-out rows; every candidate penalty, and its
-    error, is worked out from those. With fewer than 50 training or 10 held-out rows the penalty is
+    One pass gives the sums of the training and the held-out rows; every candidate penalty, and its
+    error, is worked out from those. With fewer than ``LEAST_TRAINING`` training or ``LEAST_HELD_OUT`` held-out rows the penalty is
     judged on all rows.
     """
     from slotline.operators.sampling import uniform
 
-    if group:
-        part = df.withColumn("_out", uniform(seed, group) < 0.2)
-        train, held = _sums(part.filter("not _out"), columns, y), _sums(part.filter("_out"), columns, y)
-    else:
-        train = held = _sums(df, columns, y)
-    whole = tuple(a + b for a, b in zip(train, held, strict=True)) if group else train
-    if train[0] < 50 or held[0] < 10:
+    train, held = _sums(df, columns, y, uniform(seed, group) < 0.2 if group else None)
+    whole = tuple(a + b for a, b in zip(train, held, strict=True))
+    if not group:
+        train = held = whole
+    if train[0] < LEAST_TRAINING or held[0] < LEAST_HELD_OUT:
         train = held = whole
     tried = [(_rmse(_solve(*train, columns, q), *held), i) for i, q in enumerate(penalties)]
     best = min(tried)

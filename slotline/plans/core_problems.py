@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slotline.operators.fill_from_similar import fill_from_similar, mine_dependencies
 from slotline.operators.implausible import implausible
-from slotline.operators.keyed_counts import rows_and_members
+from slotline.operators.keyed_counts import dense_sums, rows_and_members
 from slotline.operators.regular_grid import missing_runs, regular_grid, smoothed_blocks
 from slotline.operators.trailing_totals import idle_periods, trailing_totals
 from slotline.sources.readings import participant_id
@@ -22,9 +22,9 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    counts = p1_counts(spark, d)
-    total = table(spark, d, "template", ["source_file"]).count()
-    return counts.filter(F.col("source_file").isNotNull() & (F.col("n_rows") * 20 >= total)).select("source_file")
+    keys = table(spark, d, "template", ["source_file"])
+    total = keys.count()
+    return dense_sums(keys, "source_file").filter(F.col("source_file").isNotNull() & (F.col("n_rows") * 20 >= total)).select("source_file")
 
 
 def _readings(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -68,7 +68,8 @@ def p6_dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_filled(spark, d).filter("filled").select("row_pos", "field")
+    """Where a value came from: the rows whose provenance is another than their own record."""
+    return p6_filled(spark, d).filter("provenance <> 'recorded'").select("row_pos", "field")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_grid, p3_found, p3_totals, p4_found, p4_flags, p6_found, p6_filled, p6_dependencies)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotline.functions import scalar as S
 from slotline.operators import arrays as A
+from slotline.operators import covariates as C
 from slotline.operators import eligibility as E
 from slotline.operators import grid as G
 from slotline.operators import linear as L
@@ -108,11 +109,11 @@ def deltas(spark, d):
     f"with {_grid_sql('cgm')}, h as (select source_file, id, slot, list({{'s': slot, 'v': cgm}}) {_frame(-23, 0)} as w, list({{'s': slot, 'v': cgm}}) {_frame(1, 24)} as f from g) "
     "select source_file, id, slot, "
     + ", ".join(f"cast(list_extract(list_transform(list_filter({c}, lambda x: x.s = slot + ({k})), lambda x: x.v), 1) as double) as {n}" for n, c, k in (("back23", "w", -23), ("back6", "w", -6), ("now", "w", 0), ("next6", "f", 6), ("next24", "f", 24)))
-    + ", cast(len(list_filter(w, lambda x: x.v is not null)) as integer) as n_seen from h where slot % 12 = 0"
+    + ", cast(len(list_filter(w, lambda x: x.v is not null)) as integer) as n_seen from h"
 )
 def history_and_future(spark, d):
     arrays = lambda f: {"history": G.slots_array("cgm", -23, 0, f), "future": G.slots_array("cgm", 1, 24, f)}
-    w = G.over_slots(_grid(spark, d, "cgm"), arrays, 23, 24).filter("slot % 12 = 0")
+    w = G.over_slots(_grid(spark, d, "cgm"), arrays, 23, 24)
     n = F.size(F.filter("history", lambda x: x.isNotNull()))
     h, f = F.col("history"), F.col("future")
     return w.select("source_file", "id", "slot", h[0].alias("back23"), h[17].alias("back6"), h[23].alias("now"), f[5].alias("next6"), f[23].alias("next24"), n.alias("n_seen"))
@@ -120,11 +121,25 @@ def history_and_future(spark, d):
 
 @query()
 def history_and_future_288(spark, d):
-    """The reference's arrays at every slot; ``history_and_future`` is a sample of hourly slots and short histories that its SQL can check."""
+    """Whole histories of a day and futures of two hours at every slot."""
     w = F.col("window")
     return G.windows(_grid(spark, d, "cgm"), "cgm", -287, 24).select("source_file", "id", "slot", F.slice(w, 1, 288).alias("history"), F.slice(w, 289, 24).alias("future"))
 
 
+_AROUND = f"""with {_grid_sql('cgm')}, k as (select source_file, id, slot, unnest(generate_series(-287, 24)) as k from g),
+x as (select k.*, h.cgm as v from k left join g h on h.source_file = k.source_file and h.id = k.id and h.slot = k.slot + k.k)"""
+_SPELT = "md5(string_agg(coalesce(cast(cast(round(v * 100) as bigint) as varchar), ''), ',' order by k) filter (k {0}))"
+
+
+@query(_AROUND + f" select source_file, id, slot, {_SPELT.format('<= 0')} as history, {_SPELT.format('> 0')} as future, count(v) filter (k <= 0) as n_history, count(v) filter (k > 0) as n_future from x group by all")
+def history_288(spark, d):
+    """``history_and_future_288`` with each array written out, in hundredths, and hashed."""
+    spelt = lambda a: F.md5(F.array_join(F.transform(a, lambda v: F.coalesce(F.round(v * 100).cast("bigint").cast("string"), F.lit(""))), ","))
+    n = lambda a: F.size(F.filter(a, lambda v: v.isNotNull())).cast("bigint")
+    w = history_and_future_288(spark, d)
+    return w.select("source_file", "id", "slot", spelt("history").alias("history"), spelt("future").alias("future"), n("history").alias("n_history"), n("future").alias("n_future"))
+
+
 @query(
     "with r as (select row_pos, source_file, upper(trim(id)) as id, cast(floor(epoch(date)) as bigint) as sec from train where date is not null), t as (select source_file, id, min(sec) as t0 from r group by all) "
     "select row_pos, source_file, id, cast((sec - t0) // 300 as bigint) as i from r join t using (source_file, id) where (sec - t0) % 300 = 0"
@@ -148,9 +163,25 @@ def longest_gap(spark, d):
 
 @query()
 def window_fill(spark, d):
+    """The filled histories of a day of every slot with a value."""
     return G.filled_windows(_grid(spark, d, "cgm"), "cgm", 288)
 
 
+_FILLED = f"""with {_grid_sql('cgm')}, k as (select source_file, id, slot, unnest(generate_series(-287, 0)) as k from g where cgm is not null),
+x as (select k.*, h.cgm as v, case when h.cgm is not null then k.k end as known from k left join g h on h.source_file = k.source_file and h.id = k.id and h.slot = k.slot + k.k),
+y as (select *, max(known) over b as kl, min(known) over f as kr, last_value(v ignore nulls) over b as vl, first_value(v ignore nulls) over f as vr from x
+  window b as (partition by source_file, id, slot order by k rows unbounded preceding), f as (partition by source_file, id, slot order by k rows between current row and unbounded following)),
+z as (select source_file, id, slot, k, v, coalesce(v, case when kl is null then vr else vl + (vr - vl) * (k - kl) / (kr - kl) end) as filled from y)"""
+
+
+@query(_FILLED + " select source_file, id, slot, round(sum(filled) + 1e-7, 3) as total, round(sum(filled * k) + 1e-7, 3) as moment, round(sum(coalesce(v, -1)) + 1e-7, 3) as marked from z group by all")
+def window_fill_sums(spark, d):
+    """Sums of ``window_fill``'s arrays, plain and weighted by the place."""
+    total = lambda a, f: F.round(F.aggregate(F.transform(a, f), F.lit(0.0), lambda s, v: s + v) + 1e-7, 3)
+    w = window_fill(spark, d)
+    return w.select("source_file", "id", "slot", total("filled", lambda v: v).alias("total"), total("filled", lambda v, i: v * (i - 287)).alias("moment"), total("marked", lambda v: v).alias("marked"))
+
+
 # --- segments and eligibility ----------------------------------------------------------------
 
 _SEG = """with s as (select row_pos, source_file, upper(trim(id)) as id from train), c as (select *, case when lag(row_pos) over w is null or (lag(source_file) over w is not distinct from source_file and lag(id) over w is not distinct from id) then 0 else 1 end as ch from s window w as (order by row_pos)),
@@ -177,15 +208,9 @@ def segment_lengths(spark, d):
     return one.groupBy("source_file", "id").agg(F.count_if(F.col("n") >= 312).alias("long_enough"), F.count_if(F.col("n") < 312).alias("too_short"))
 
 
-@query(f"with {_grid_sql('cgm')}, c as (select source_file, id, count(cgm) {_frame(-11, 0)} as back, count(cgm) {_frame(1, 6)} as ahead from g) select source_file, id, count(*) filter (back = 12 and ahead = 6) as contiguous, count(*) as n from c group by all")
-def contiguity(spark, d):
-    c = G.over_slots(_grid(spark, d, "cgm"), lambda f: {"back": F.count("cgm").over(f(-11, 0)), "ahead": F.count("cgm").over(f(1, 6))}, 11, 6)
-    return c.groupBy("source_file", "id").agg(F.count_if((F.col("back") == 12) & (F.col("ahead") == 6)).alias("contiguous"), F.count("*").alias("n"))
-
-
 @query(f"with {_grid_sql('cgm')}, c as (select source_file, id, count(cgm) {_frame(-287, 0)} as back, count(cgm) {_frame(1, 24)} as ahead from g) select source_file, id, count(*) filter (back = 288 and ahead = 24) as contiguous, count(*) as n from c group by all")
-def contiguity_312(spark, d):
-    """Strict contiguity over the reference's 312 slots; ``contiguity`` looks at 12 back and 6 ahead only."""
+def contiguity(spark, d):
+    """Strict contiguity over 312 slots: 287 back and 24 ahead."""
     c = G.over_slots(_grid(spark, d, "cgm"), lambda f: {"back": F.count("cgm").over(f(-287, 0)), "ahead": F.count("cgm").over(f(1, 24))}, 287, 24)
     return c.groupBy("source_file", "id").agg(F.count_if((F.col("back") == 288) & (F.col("ahead") == 24)).alias("contiguous"), F.count("*").alias("n"))
 
@@ -272,6 +297,79 @@ def action_features(spark, d):
     return w.select("source_file", "id", "slot", *(acting(c, t, h) for c, ts in taus.items() for t in ts for h in (30, 120)))
 
 
+_BACK_WEIGHT, _NEXT_WEIGHT = "(exp(-5.0 * (slot - x.s) / {t}) - exp(-(5.0 * (slot - x.s) + {h}) / {t}))", "(case when 5 * (x.s - slot) <= {h} then 1 - exp(-({h} - 5.0 * (x.s - slot)) / {t}) else 0 end)"
+
+
+def _covariates_sql() -> str:
+    out = [f"coalesce(sum({c}) {_frame(-z // 5 + 1, -a // 5)}, 0) as {c}_past_{a}_{z}" for c in C.CHANNELS for a, z in C.PAST_BINS]
+    out += [f"count({c}) {_frame(1 - C.PAST, 0)} / {C.PAST}.0 as {c}_seen" for c in C.CHANNELS]
+    out += [f"coalesce(sum({c}) {_frame(a // 5 + 1, z // 5)}, 0) as {c}_next_{a}_{z}" for c in C.CHANNELS for a, z in C.NEXT_BINS]
+    out += [f"coalesce(max({c}) {_frame(-j, -j)}, 0) as {c}_ago_{5 * j}" for c in C.CHANNELS for j in range(C.RAW_PAST)]
+    out += [f"coalesce(max({c}) {_frame(j, j)}, 0) as {c}_in_{5 * j}" for c in C.CHANNELS for j in range(1, C.AHEAD + 1)]
+    lists = [f"list({{'s': slot, 'v': {c}}}) filter ({c} is not null) {_frame(*f)} as {c}_{n}" for c in C.CHANNELS for n, f in (("p", (1 - C.PAST, 0)), ("n", (1, C.AHEAD)))]
+    acts = [
+        f"coalesce(list_sum(list_transform({c}_{side[0]}, lambda x: x.v * {w.format(t=t, h=h)})), 0) as {c}_act_{i}_{side}_{h}"
+        for c in C.CHANNELS
+        for i, t in enumerate(C.TAUS[c])
+        for side, w in (("past", _BACK_WEIGHT), ("next", _NEXT_WEIGHT))
+        for h in C.ACTION_HORIZONS
+    ]
+    day = [f"{f}(2 * pi() * ((slot * 300) % 86400) / 86400) as day_{f}" for f in ("sin", "cos")]
+    return f"with {_grid_sql(*C.CHANNELS)}, w as (select source_file, id, slot, {', '.join(out + lists)} from g), e as (select *, {', '.join(acts + day)} from w)"
+
+
+@query(_covariates_sql() + " select source_file, id, slot, " + ", ".join(f"round({n} + 1e-7, 4) + 0 as {n}" for n in C.covariate_names()) + " from e")
+def covariates_188(spark, d):
+    """All covariates of every slot, one column each."""
+    x = C.covariates(_grid(spark, d, *C.CHANNELS))
+    return x.select("source_file", "id", "slot", *((F.round(F.col("x")[i] + 1e-7, 4) + 0.0).alias(n) for i, n in enumerate(C.covariate_names())))
+
+
+@query(
+    _FILLED
+    + " select source_file, id, slot, "
+    + ", ".join(f"round(max(case when k = {-j} then filled end) + 1e-7, 4) as ago_{5 * j}" for j in range(C.RAW_HISTORY))
+    + ", "
+    + ", ".join(f"round(max(case when k = 0 then filled end) - max(case when k = {-j} then filled end) + 1e-7, 4) + 0 as d{5 * j}" for j in C.DELTAS)
+    + ", round(stddev_pop(filled) filter (k > -12) + 1e-7, 4) as sd_hour, round(avg(filled) + 1e-7, 4) as mean_day from z group by all"
+)
+def history_features(spark, d):
+    """Last two hours, changes, spread and mean of the filled history of a day."""
+    h = C.history_features(_grid(spark, d, "cgm"))
+    return h.select("source_file", "id", "slot", *((F.round(F.col(c) + 1e-7, 4) + 0.0).alias(c) for c in h.columns[3:]))
+
+
+def _design(spark, d):
+    """Covariates, four changes of the filled history and the value itself beside the change of the next half hour."""
+    g = _grid(spark, d, "cgm", *C.CHANNELS)
+    y = G.over_slots(g.select("source_file", "id", "slot", "cgm"), lambda f: {"y": G.at_slot("cgm", 6, f)}, 0, 6).filter("cgm between 40 and 400 and y between 40 and 400")
+    h = C.history_features(g).select("source_file", "id", "slot", F.array(*(f"d{5 * j}" for j in C.DELTAS)).alias("d"))
+    key = ["source_file", "id", "slot"]
+    rows = J.attach(J.attach(y, h, key), C.covariates(g), key)
+    return rows.select(*key, "cgm", "y", (F.col("y") - F.col("cgm")).alias("delta"), F.concat("x", "d").alias("x"))
+
+
+@query(
+    _covariates_sql()
+    + f", n as (select {', '.join(f'list({n} order by source_file, id, slot) as {n}' for n in C.covariate_names())} from e), l as (unpivot n on {', '.join(C.covariate_names())} into name i value v) "
+    "select a.i, b.i as j, round(list_dot_product(a.v, b.v) + 0.00137, 1) + 0 as v from l a join l b on a.i <= b.i"
+)
+def gram_188(spark, d):
+    """Products of all pairs of covariates."""
+    names = C.covariate_names()
+    g = L.gram(C.covariates(_grid(spark, d, *C.CHANNELS)), L.Packed("x", len(names)), names)
+    return g.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.round(F.col("v") + 0.00137, 1) + 0.0).alias("v"))
+
+
+@query()
+def ridge_192(spark, d):
+    """Ridge over the covariates and the changes of the filled history: the next half hour's error, and that of persistence."""
+    rows = _design(spark, d)
+    model = L.fit_ridge(rows, L.Packed("x", len(C.covariate_names()) + len(C.DELTAS)), "delta", "source_file")
+    applied = rows.withColumn("pred", S.clip(F.col("cgm") + model.predict()))
+    return _rounded(M.scores(M.long_pairs(applied, [("pred", "y", 30), ("cgm", "y", 0)])), "rmse", "mard")
+
+
 @query(f"with {_grid_sql('cgm')} select source_file, id, slot, round(avg(cgm) {_frame(-287, 0)} + 1e-7, 4) as mean_day, round(stddev_pop(cgm) {_frame(-11, 0)} + 1e-7, 4) as sd_hour from g where cgm is not null")
 def history_summary(spark, d):
     seen = _grid(spark, d, "cgm").filter("cgm is not null")
@@ -389,18 +487,6 @@ def median_fallback(spark, d):
     return y.select("row_pos", F.round(F.coalesce("target_30", F.lit(m).cast("double"), F.lit(120.0)), 4).alias("filled"))
 
 
-_AUDIT = f"""with {_grid_sql('cgm', 'carbs')}, o as (select source_file, id, slot from g where slot % 36 = 0)
-select o.source_file, o.id, o.slot, count(b.cgm) as n_back, cast(count(*) filter (b.carbs > 0 and b.slot <= o.slot) as bigint) as meals, round(avg(b.cgm), 4) as mean_back
-from o left join g b on o.source_file = b.source_file and o.id = b.id and b.slot between o.slot - 288 and o.slot group by all"""
-
-
-@query(_AUDIT)
-def range_window_audit(spark, d):
-    g = _grid(spark, d, "cgm", "carbs").withColumn("meal", (F.col("carbs") > 0).cast("int"))
-    w = G.over_slots(g, lambda f: {"n_back": F.count("cgm").over(f(-288, 0)), "meals": F.coalesce(F.sum("meal").over(f(-288, 0)), F.lit(0)), "mean_back": F.round(F.avg("cgm").over(f(-288, 0)), 4)}, 288, 0)
-    return w.filter("slot % 36 = 0").select("source_file", "id", "slot", "n_back", "meals", "mean_back")
-
-
 _SIDES = (("back", -288, 0), ("ahead", 1, 24))
 
 
@@ -409,8 +495,8 @@ _SIDES = (("back", -288, 0), ("ahead", 1, 24))
     + ", ".join(f"count(cgm) {_frame(a, b)} as n_{n}, cast(count(case when carbs > 0 then 1 end) {_frame(a, b)} as bigint) as meals_{n}, round(avg(cgm) {_frame(a, b)} + 1e-7, 4) as mean_{n}" for n, a, b in _SIDES)
     + " from g"
 )
-def range_window_audit_whole(spark, d):
-    """[t - 24 h, t] and (t, t + 120 min] of every slot; ``range_window_audit`` is a sample, one slot in three hours and looking back only, that a range join can check."""
+def range_window_audit(spark, d):
+    """[t - 24 h, t] and (t, t + 120 min] of every slot."""
 
     def columns(f):
         of = lambda n, w: {f"n_{n}": F.count("cgm").over(w), f"meals_{n}": F.count(F.when(F.col("carbs") > 0, 1)).over(w), f"mean_{n}": F.round(F.avg("cgm").over(w) + 1e-7, 4)}

@@ -32,7 +32,8 @@ def test_counts_of_hot_null_and_clashing_keys(spark):
     assert got == {"hot": (500, 500.0), "b": (1, 0.0), None: (2, 2.0)}
     members = {r.k: (r.n_rows, r.n_members) for r in rows_and_members(df.withColumnRenamed("n_rows", "m"), "k", "m").collect()}
     assert members == {"hot": (500, 1), "b": (1, 0), None: (2, 2)}
-    assert {r.k: r.n_rows for r in dense_sums(df, "k", max_dictionary=1).collect()} == {"hot": 500, "b": 1, None: 2}  # the other way beyond the bound
+    many = spark.range(30_000).selectExpr("cast(id % 9973 as string) as k", "1.0 as v").repartition(5)
+    assert {(r.k, r.n_rows, r.v) for r in dense_sums(many, "k", ["v"], ranges=7).collect()} == {(str(k), n, float(n)) for k in range(9973) for n in [len(range(k, 30_000, 9973))]}
     assert dense_sums(df.limit(0), "k").count() == 0
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from slotline.functions.scalar import GRID_LINES, error_zone, method_tag
 from slotline.operators import arrays as A
+from slotline.operators import covariates as C
 from slotline.operators import eligibility as E
 from slotline.operators import grid as G
 from slotline.operators import linear as L
@@ -142,7 +143,7 @@ def test_window_fill_of_whole_histories(spark, monkeypatch):
 def test_audit_looks_both_ways_from_every_slot(spark, monkeypatch):
     grid, values = long_gaps(spark)
     monkeypatch.setattr(R, "_grid", lambda *_: grid.withColumn("carbs", F.when(F.col("slot") % 50 == 0, 20.0).otherwise(0.0)))
-    got = {r.slot: r for r in R.range_window_audit_whole(spark, "").collect()}
+    got = {r.slot: r for r in R.range_window_audit(spark, "").collect()}
     assert got.keys() == values.keys()
     for k, r in got.items():
         for name, a, b in (("back", k - 288, k), ("ahead", k + 1, k + 24)):
@@ -156,7 +157,7 @@ def test_contiguity_over_the_whole_window(spark, monkeypatch):
     gap = 700
     monkeypatch.setattr(R, "_grid", lambda *_: grid_of(spark, [k for k in range(1400) if k != gap], [1.0] * 1399))
     want = sum(0 <= k - 287 and k + 24 < 1400 and not k - 287 <= gap <= k + 24 for k in range(1400))
-    got = R.contiguity_312(spark, "").first()
+    got = R.contiguity(spark, "").first()
     assert (got.contiguous, got.n) == (want, 1399)
 
 
@@ -198,6 +199,39 @@ def test_ridge_is_the_closed_form(spark):
     assert np.abs(got - (z @ w + y.mean())).max() < 1e-6
 
 
+def test_wide_ridge_is_the_closed_form(spark):
+    rng = np.random.default_rng(8)
+    d = 192
+    x = rng.normal(size=(700, d))
+    x[3, 5] = np.nan  # such a row plays no part
+    y = np.nan_to_num(x) @ rng.normal(size=d) + rng.normal(0, 0.1, 700)
+    df = spark.createDataFrame([(f"g{i % 13}", [float(v) for v in r], float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))] + [("g", None, 1.0)], "g string, x array<double>, y double")
+    m = L.fit_ridge(df, L.Packed("x", d), "y", "g")
+    x, y = np.delete(x, 3, 0), np.delete(y, 3)
+    z = (x - x.mean(0)) / x.std(0)
+    w = np.linalg.solve(z.T @ z + m.penalty * np.eye(d), z.T @ (y - y.mean()))
+    assert m.weights == pytest.approx(w, rel=1e-5, abs=1e-6)
+    got = df.filter("x is not null").select(m.predict().alias("p")).toPandas().p.drop(3).to_numpy()
+    assert np.abs(got - (z @ w + y.mean())).max() < 1e-6
+    g = {(r.i, r.j): r.v for r in L.gram(df, L.Packed("x", d), [f"c{i:03}" for i in range(d)]).collect()}
+    assert len(g) == d * (d + 1) // 2 and g["c000", "c191"] == pytest.approx(x[:, 0] @ x[:, 191])
+
+
+def test_covariates_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(9)
+    rows = [("s", "a", int(k), *(None if rng.random() < 0.5 else float(rng.integers(0, 9)) for _ in C.CHANNELS)) for k in np.unique(rng.integers(500, 1900, 700))]
+    df = spark.createDataFrame(rows, "source_file string, id string, slot bigint, bolus double, basal double, carbs double")
+    names = C.covariate_names()
+    by = {block: {r.slot: dict(zip(names, r.x, strict=True)) for r in C.covariates(df, block).collect()} for block in (50, 576)}
+    assert len(names) == 188 and by[50].keys() == by[576].keys() == {r[2] for r in rows}
+    value = {(r[2], c): v for r in rows for c, v in zip(C.CHANNELS, r[3:], strict=True) if v is not None}
+    for s, x in by[50].items():
+        assert x == pytest.approx(by[576][s])
+        assert x["carbs_past_0_30"] == sum(value.get((s - j, "carbs"), 0) for j in range(6)) and x["bolus_in_120"] == value.get((s + 24, "bolus"), 0)
+        assert x["basal_seen"] == pytest.approx(sum((s - j, "basal") in value for j in range(72)) / 72)
+    assert C.covariates(df.limit(0)).count() == 0
+
+
 def test_guards(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "k string, v int")
     with pytest.raises(J.NotUnique):

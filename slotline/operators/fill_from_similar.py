@@ -5,16 +5,20 @@ the share of records that agree with their group's commonest value is measured o
 and a candidate is used only if that share reaches ``least_confidence``. Of a verified dependency
 the entries with enough support and agreement form a dictionary, which is left-joined to the rows to
 fill. What no dictionary holds gets the median of the narrowest group that has one.
+
+The readings are counted once, by all determinants and values together; candidates, dictionaries and
+medians are sums over those counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotline.operators.quantiles import exact_median
+from slotline.session import ensure_checkpoint_dir
 from slotline.sources.readings import participant_id
 from slotline.sources.tables import finite
 
@@ -52,7 +56,6 @@ class Mining:
     least_agreement: float = 0.95  # of one dictionary entry
     least_support: int = 3
     groups_least: int = 3
-    accepted: dict[str, list[str]] = field(default_factory=dict)
 
 
 MINING = Mining()
@@ -64,28 +67,56 @@ def recorded(c: str) -> Column:
     return F.when(x >= 0, x)
 
 
-def _entries(complete: DataFrame, key: list[Column], target: str) -> DataFrame:
-    """Per determinant key: commonest value, its count and the number of records."""
-    pairs = complete.groupBy(_key(*key).alias("key"), recorded(target).alias("y")).agg(F.count("*").alias("n"))
-    return pairs.groupBy("key").agg(F.max(F.struct("n", F.negative("y").alias("y"))).alias("top"), F.sum("n").alias("n")).select("key", (-F.col("top.y")).alias("y"), F.col("top.n").alias("agree"), "n")
+class _Counts:
+    """The readings' counts by all determinants and target values, checkpointed; keys over them and over the readings."""
+
+    def __init__(self, readings: DataFrame, candidates: dict[str, dict[str, list[Column]]], groups: dict[str, list[Column]]) -> None:
+        ensure_checkpoint_dir(readings.sparkSession)
+        self.place: dict[str, int] = {}
+        columns = []
+        for key in [k for sets in candidates.values() for k in sets.values()] + list(groups.values()):
+            for c in key:
+                if str(c) not in self.place:
+                    self.place[str(c)] = len(columns)
+                    columns.append(c)
+        self.readings = readings.select("row_pos", *(c.alias(f"d{i}") for i, c in enumerate(columns)), *(recorded(t).alias(f"y_{t}") for t in candidates))
+        self.cells = self.readings.groupBy(*self.readings.columns[1:]).agg(F.count("*").alias("n")).checkpoint()
+
+    def key(self, columns: list[Column]) -> Column:
+        return _key(*(F.col(f"d{self.place[str(c)]}") for c in columns))
+
+    def entries(self, columns: list[Column], target: str) -> DataFrame:
+        """Per determinant key: commonest value (the smaller of equals), its count and the number of records."""
+        y = F.col(f"y_{target}")
+        pairs = self.cells.filter(y.isNotNull()).groupBy(self.key(columns).alias("key"), y.alias("y")).agg(F.sum("n").alias("n"))
+        return pairs.groupBy("key").agg(F.max(F.struct("n", F.negative("y").alias("y"))).alias("top"), F.sum("n").alias("n")).select("key", (-F.col("top.y")).alias("y"), F.col("top.n").alias("agree"), "n")
+
+    def medians(self, columns: list[Column], target: str) -> DataFrame:
+        """Per group: the median recorded value, ``y``, and ``n``."""
+        known = self.cells.filter(F.col(f"y_{target}").isNotNull()).select(self.key(columns).alias("key"), F.col(f"y_{target}").alias("_y"), F.col("n").alias("_w"))
+        return exact_median(known, ["key"], "_y", name="y", weight="_w")
+
+    def dependencies(self, candidates: dict[str, dict[str, list[Column]]]) -> DataFrame:
+        reports = []
+        for target, sets in candidates.items():
+            for name, key in sets.items():
+                e = self.entries(key, target).filter("n >= 2")
+                figures = e.agg((F.sum("agree") / F.nullif(F.sum("n"), F.lit(0))).alias("confidence"), F.count("*").alias("n_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"))
+                reports.append(figures.select(F.lit(target).alias("field"), F.lit(name).alias("determinants"), "confidence", "n_keys", "n_records"))
+        return _union(reports)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def mine_dependencies(readings: DataFrame, candidates: dict[str, dict[str, list[Column]]] | None = None) -> DataFrame:
     """One row per candidate: field, determinants, confidence (NULL if no key repeats), n_keys, n_records."""
-    reports = []
-    for target, sets in (candidates or train_candidates()).items():
-        complete = readings.filter(recorded(target).isNotNull())
-        for name, key in sets.items():
-            e = _entries(complete, key, target).filter("n >= 2")
-            reports.append(
-                e.agg((F.sum("agree") / F.nullif(F.sum("n"), F.lit(0))).alias("confidence"), F.count("*").alias("n_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_records")).select(
-                    F.lit(target).alias("field"), F.lit(name).alias("determinants"), "confidence", "n_keys", "n_records"
-                )
-            )
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return out
+    candidates = candidates or train_candidates()
+    return _Counts(readings, candidates, {}).dependencies(candidates)
 
 
 def fill_from_similar(
@@ -101,32 +132,35 @@ def fill_from_similar(
     even the whole table holds no recorded value (``value`` is then NULL). NULL keys and dates are
     values of their own; repeated rows are filled alike; ties between values go to the smaller.
 
-    Only rows to fill are shuffled, against dictionaries of one row per key.
+    Only rows to fill are shuffled, against dictionaries of one row per key; both fields go through
+    the same joins, the n-th dictionaries of all fields being one table.
     """
     candidates, groups = candidates or train_candidates(), groups or train_groups()
-    verified = {(r.field, r.determinants) for r in mine_dependencies(readings, candidates).collect() if r.confidence is not None and r.confidence >= mining.least_confidence}
-    parts = []
+    counts = _Counts(readings, candidates, groups)
+    verified = {(r.field, r.determinants) for r in counts.dependencies(candidates).collect() if r.confidence is not None and r.confidence >= mining.least_confidence}
+    steps: dict[str, list[tuple[str, list[Column], DataFrame]]] = {}
     for target, sets in candidates.items():
-        y = recorded(target)
-        complete = readings.filter(y.isNotNull())
-        parts.append(complete.select("row_pos", F.lit(target).alias("field"), y.alias("value"), F.lit(False).alias("filled"), F.lit("recorded").alias("provenance")))
-        steps: list[tuple[str, list[Column], DataFrame]] = []
+        own = steps[target] = []
         for name, key in sets.items():
             if (target, name) in verified:
-                e = _entries(complete, key, target).filter((F.col("n") >= mining.least_support) & (F.col("agree") >= mining.least_agreement * F.col("n")))
-                steps.append((f"dependency: {name}", key, e.select("key", "y")))
+                e = counts.entries(key, target).filter((F.col("n") >= mining.least_support) & (F.col("agree") >= mining.least_agreement * F.col("n")))
+                own.append((f"dependency: {name}", key, e.select("key", "y")))
         for name, key in groups.items():
-            med = complete.groupBy(_key(*key).alias("key")).agg(F.percentile_approx(y, 0.5, 10000).alias("y"), F.count("*").alias("n"))
-            steps.append((f"median: {name}", key, med.filter(F.col("n") >= mining.groups_least).select("key", "y")))
-        lacking = readings.filter(y.isNull()).select("row_pos", *(_key(*key).alias(f"k{i}") for i, (_, key, _) in enumerate(steps)))
-        for i, (_, _, table) in enumerate(steps):
-            lacking = lacking.join(table.select(F.col("key").alias(f"k{i}"), F.col("y").alias(f"y{i}")), f"k{i}", "left")
-        whole = complete.agg(F.percentile_approx(y, 0.5, 10000).alias("y")).first().y
-        last = F.lit(whole).cast("double")
-        value = F.coalesce(*(F.col(f"y{i}") for i in range(len(steps))), last)
-        origin = F.coalesce(*(F.when(F.col(f"y{i}").isNotNull(), F.lit(name)) for i, (name, _, _) in enumerate(steps)), F.when(last.isNotNull(), F.lit("median: all")), F.lit("none"))
-        parts.append(lacking.select("row_pos", F.lit(target).alias("field"), value.alias("value"), F.lit(True).alias("filled"), origin.alias("provenance")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            own.append((f"median: {name}", key, counts.medians(key, target).filter(F.col("n") >= mining.groups_least).select("key", "y")))
+    depth = max(len(own) for own in steps.values())
+
+    def cell(target: str) -> Column:
+        keys = [counts.key(key) for _, key, _ in steps[target]] + [F.lit(None).cast("string")] * (depth - len(steps[target]))
+        return F.struct(F.lit(target).alias("field"), F.col(f"y_{target}").alias("value"), *(F.concat(F.lit(f"{target}|"), k).alias(f"k{i}") for i, k in enumerate(keys)))
+
+    long = counts.readings.select("row_pos", F.inline(F.array(*(cell(t) for t in candidates))))
+    kept = long.filter(F.col("value").isNotNull()).select("row_pos", "field", "value", F.lit(False).alias("filled"), F.lit("recorded").alias("provenance"))
+    lacking = long.filter(F.col("value").isNull()).drop("value")
+    for i in range(depth):
+        tables = [own[i][2].select(F.concat(F.lit(f"{t}|"), "key").alias(f"k{i}"), F.struct("y", F.lit(own[i][0]).alias("by")).alias(f"v{i}")) for t, own in steps.items() if i < len(own)]
+        lacking = lacking.join(_union(tables), f"k{i}", "left")
+    whole = _union([counts.medians([], t).select(F.lit(t).alias("field"), F.struct("y", F.lit("median: all").alias("by")).alias(f"v{depth}")) for t in candidates])
+    lacking = lacking.join(F.broadcast(whole), "field", "left")  # one row a field
+    found = F.coalesce(*(F.col(f"v{i}") for i in range(depth + 1)))
+    filled = lacking.select("row_pos", "field", found["y"].alias("value"), F.lit(True).alias("filled"), F.coalesce(found["by"], F.lit("none")).alias("provenance"))
+    return kept.unionByName(filled)

@@ -6,7 +6,12 @@ around them (two vanishing moments: level and slope leave no detail). Details ar
 participant's own robust scale. A run of one same value (first differences all zero) much longer
 than the participant's usual run is a sensor that hangs: the usual run is the median one, 3 where
 the logger repeats each value three times, and runs are counted in multiples of it. Bounds of the
-participant's unit or dose size show what no device can give.
+participant's unit or dose size show what no device can give. Doses are decomposed as logarithms of
+the meal-sized ones, one after the other: a detail far beyond their usual spread is a dose out of
+scale.
+
+A series is cut into chunks. Spikes need a few neighbours, which a margin gives; runs that touch a
+chunk's end are put together from the neighbouring chunks' first and last runs, however long.
 """
 
 from __future__ import annotations
@@ -17,9 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotline.operators.blocks import chunked, same_key, with_place
+from slotline.session import ensure_checkpoint_dir
 from slotline.sources.readings import participant_id
 from slotline.sources.tables import epoch_seconds, finite
 
@@ -44,12 +51,14 @@ class Limits:
     stuck_dose_least: int = 5
     meal_dose: float = 0.6  # units; smaller doses are basal delivery and may repeat
     dose_times: float = 5.0  # of the participant's median meal dose
+    dose_scales: float = 6.0  # of the robust scale of the details of log doses
+    dose_least: float = 1.8  # log of six times
     doses_least: int = 10  # below, the source's median meal dose is taken
     gap_paces: float = 4.0
 
 
 LIMITS = Limits()
-CHUNK, MARGIN = 4096, 256
+CHUNK, MARGIN = 4096, 16
 
 
 def _recorded(readings: DataFrame) -> DataFrame:
@@ -76,25 +85,40 @@ def _details(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _chunk_figures(limits: Limits):
-    """For mapInPandas: a chunk's robust figures, from which the participant's are the medians."""
+def _within(field: str, x: np.ndarray, level: float, limits: Limits) -> np.ndarray:
+    if field != "cgm":
+        return np.ones(len(x), bool)
+    low, high = limits.mmol if level < limits.mmol_below else limits.mg
+    return (x >= low) & (x <= high)
+
+
+def _meals(x: np.ndarray, limits: Limits) -> np.ndarray:
+    """Places of the meal-sized doses."""
+    return np.flatnonzero(x > limits.meal_dose + 0.3)
+
+
+def _chunk_figures(limits: Limits, chunk: int):
+    """For mapInPandas: a chunk's robust figures, from which the participant's are the medians, and its own first and last run."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for source, pid, field, sec, x in zip(frame.source_file, frame.id, frame.field, frame.sec, frame.value, strict=True):
+            for r in frame.itertuples(index=False):
+                own = (r.place >= r.core_from) & (r.place < r.core_from + chunk)
+                x, sec, field = r.value[own], r.sec[own], r.field
                 level = float(np.median(x))
-                mmol = field == "cgm" and level < limits.mmol_below
-                low, high = limits.mmol if mmol else limits.mg
-                kept = x if field != "cgm" else x[(x >= low) & (x <= high)]
-                detail = np.abs(_details(kept, 1))
+                kept = x[_within(field, x, level, limits)]
+                meals = np.log(x[_meals(x, limits)]) if field != "cgm" else kept
+                detail = np.abs(_details(meals, 1))
                 detail = detail[detail > 0]  # NaN fails too
                 step = np.diff(sec)
                 runs = _run_lengths(kept)
                 run = int(np.quantile(runs, 0.5, method="lower")) if len(runs) >= limits.runs_least else 1
                 again = int((runs >= 1.5 * run).sum())
-                out.append((source, pid, field, level, float(np.median(detail)) / 0.6745 if len(detail) else None, float(np.median(step)) if len(step) else None, run, again, len(runs), len(kept)))
-            yield pd.DataFrame(out, columns=["source_file", "id", "field", "level", "scale", "pace", "run", "again", "begun", "n"])
+                ends = (float(kept[0]), int(runs[0]), float(kept[-1]), int(runs[-1])) if len(kept) else (None, 0, None, 0)
+                scale = float(np.median(detail)) / 0.6745 if len(detail) else None
+                out.append((r.source_file, r.id, field, r.chunk, level, scale, float(np.median(step)) if len(step) else None, run, again, len(runs), *ends))
+            yield pd.DataFrame(out, columns=["source_file", "id", "field", "chunk", "level", "scale", "pace", "run", "again", "begun", "head", "n_head", "tail", "n_tail"])
 
     return run
 
@@ -105,23 +129,35 @@ def _run_lengths(x: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], ends, [len(x)]])) if len(x) else np.zeros(0, int)
 
 
-def _stuck_from(run: float, again: float, begun: float, limits: Limits) -> int:
+def _stuck_from(run: float, again: float, begun: float, limits: Limits, chunk: int = CHUNK) -> int:
     """The length from which a run of same values is a sensor that hangs.
 
     ``run`` is the participant's usual run, ``again`` of its ``begun`` runs go on into a second one.
-    The length doesn't depend on that of the record.
+    The length doesn't depend on that of the record, and is at most a chunk, so that neighbours are
+    enough to know it.
     """
     repeat = min((again + 1.0) / (begun + 2.0), 0.98)
     chance = np.log(limits.stuck_rarity) / -np.log(repeat) + 2.0
-    return max(limits.stuck_least, int(np.ceil(run * max(chance, limits.stuck_times if run > 1 else 0.0))))
+    return min(chunk, max(limits.stuck_least, int(np.ceil(run * max(chance, limits.stuck_times if run > 1 else 0.0)))))
 
 
-def _hanging(x: np.ndarray, least: int) -> np.ndarray:
-    """Whether each value belongs to a run of at least ``least`` same values."""
+def _hanging(x: np.ndarray, least: int, before: tuple[float, int] = (np.nan, 0), after: tuple[float, int] = (np.nan, 0)) -> np.ndarray:
+    """Whether each value belongs to a run of at least ``least`` same values; ``before`` and ``after``: value and length of the runs on either side."""
     if not len(x):
         return np.zeros(0, bool)
     run = np.cumsum(np.concatenate([[True], np.diff(x) != 0])) - 1
-    return np.bincount(run)[run] >= least
+    length = np.bincount(run)
+    more = [(0, before[1] if x[0] == before[0] else 0), (-1, after[1] if x[-1] == after[0] else 0)]
+    for at, n in more:
+        length[at] += n
+    return length[run] >= least
+
+
+def _odd_doses(x: np.ndarray, scale: float, limits: Limits) -> np.ndarray:
+    """Places of meal-sized doses whose logarithm stands far above both neighbours."""
+    at = _meals(x, limits)
+    far = max(limits.dose_scales * scale, limits.dose_least)
+    return at[np.flatnonzero(np.nan_to_num(_details(np.log(x[at]), 1)) > far)] if len(at) else at
 
 
 def _spikes(x: np.ndarray, sec: np.ndarray, pace: float, scale: float, least: float, limits: Limits) -> np.ndarray:
@@ -151,6 +187,7 @@ def _chunk_flags(limits: Limits, chunk: int):
                 place, sec, x, low, high = r.place, r.sec, r.value, r.low, r.high
                 own = (place >= r.core_from) & (place < r.core_from + chunk)
                 reason = np.full(len(x), None, object)
+                before, after = (r.prev, int(r.n_prev)), (r.next, int(r.n_next))
                 if r.field == "cgm":
                     mmol = r.level < limits.mmol_below
                     least, most = limits.mmol if mmol else limits.mg
@@ -160,14 +197,17 @@ def _chunk_flags(limits: Limits, chunk: int):
                     at = np.flatnonzero(inside)
                     spike = _spikes(x[at], sec[at], r.pace or 300.0, r.scale or 0.0, limits.spike_least_mg / (limits.mg_per_mmol if mmol else 1.0), limits)
                     reason[at[spike]] = "spike"
-                    rest = at[~spike]
-                    stuck = _hanging(x[rest], _stuck_from(r.run, r.again, r.begun, limits))
+                    rest = at[~spike & own[at]]
+                    stuck = _hanging(x[rest], _stuck_from(r.run, r.again, r.begun, limits, chunk), before, after)
                     reason[rest[stuck]] = "stuck"
                     reason[beyond] = "impossible"
                     reason[held & (reason != "impossible")] = None
                 else:
                     most = limits.dose_times * r.dose if r.dose and r.dose > 0 else np.inf
-                    stuck = _hanging(x, limits.stuck_dose_least) & (x > limits.meal_dose)
+                    if r.scale and r.scale == r.scale:
+                        reason[_odd_doses(x, r.scale, limits)] = "spike"
+                    at = np.flatnonzero(own)
+                    stuck = at[_hanging(x[at], limits.stuck_dose_least, before, after) & (x[at] > limits.meal_dose)]
                     reason[stuck] = "stuck"
                     reason[high > most] = "impossible"
                     least = -np.inf
@@ -192,17 +232,19 @@ def implausible(readings: DataFrame, limits: Limits = LIMITS, chunk: int = CHUNK
     themselves. A participant with few readings gets the bounds only; an empty table gives no rows.
 
     The series of a participant is cut into chunks of ``chunk`` readings with margins, so no task
-    holds more than a chunk of it; the participant's figures are medians of the chunks' figures. A
-    stuck run that lies over a chunk's end is found on both sides of it as long as ``margin`` is no
-    shorter than the length that a run must have (5 to 22 of the participant's usual runs).
+    holds more than a chunk of it; the participant's figures are medians of the chunks' figures, and
+    runs over a chunk's ends are put together from the neighbours' first and last runs.
     """
+    ensure_checkpoint_dir(readings.sparkSession)
     rows = _recorded(readings)
     instants = rows.groupBy(*KEYS, "sec").agg(F.min_by("value", "row_pos").alias("value"), F.min("value").alias("low"), F.max("value").alias("high"))
     placed = with_place(instants, KEYS, ["sec"], F.floor(F.col("sec") / 86400))
     packed = chunked(placed, KEYS, ["sec", "value", "low", "high"], chunk, margin)
-    chunks = packed.select(*KEYS, "core_from", *(F.col(f"rows.{c}").alias(c) for c in ("place", "sec", "value", "low", "high")))
+    chunks = packed.select(*KEYS, "chunk", "core_from", *(F.col(f"rows.{c}").alias(c) for c in ("place", "sec", "value", "low", "high")))
     text = "source_file string, id string, field string"
-    parts = chunks.select(*KEYS, "sec", "value").mapInPandas(_chunk_figures(limits), f"{text}, level double, scale double, pace double, run bigint, again bigint, begun bigint, n bigint")
+    parts = chunks.mapInPandas(
+        _chunk_figures(limits, chunk), f"{text}, chunk bigint, level double, scale double, pace double, run bigint, again bigint, begun bigint, head double, n_head bigint, tail double, n_tail bigint"
+    ).checkpoint()  # a row a chunk
     mid = lambda c: F.percentile_approx(c, 0.5, 10000)
     figures = parts.groupBy(*KEYS).agg(mid("level").alias("level"), mid("scale").alias("scale"), mid("pace").alias("pace"), mid("run").alias("run"), F.sum("again").alias("again"), F.sum("begun").alias("begun"))
     meal = rows.filter(F.col("field") == "insulin").select("source_file", "id", _meal_dose(F.col("value"), F.col("base"), limits).alias("dose")).filter(F.col("dose").isNotNull())
@@ -214,8 +256,12 @@ def implausible(readings: DataFrame, limits: Limits = LIMITS, chunk: int = CHUNK
         .join(s, same_key("f", "s", ["source_file"]), "left")
         .select("f.*", F.when(F.col("o.n") >= limits.doses_least, F.col("o.own")).otherwise(F.col("s.whole")).alias("dose"))
     )
-    c, k = chunks.alias("c"), known.alias("k")
-    judged = c.join(k, same_key("c", "k", KEYS)).select("c.*", "k.level", "k.scale", "k.pace", "k.run", "k.again", "k.begun", "k.dose")
+    along = W.partitionBy(*KEYS).orderBy("chunk")
+    edges = parts.select(*KEYS, "chunk", *((F.coalesce(f(c).over(along), F.lit(0)) if n[:2] == "n_" else f(c).over(along)).alias(n) for n, f, c in (("prev", F.lag, "tail"), ("n_prev", F.lag, "n_tail"), ("next", F.lead, "head"), ("n_next", F.lead, "n_head"))))
+    e, k = edges.alias("e"), known.alias("k")
+    told = e.join(k, same_key("e", "k", KEYS)).select("e.*", "k.level", "k.scale", "k.pace", "k.run", "k.again", "k.begun", "k.dose")
+    c, t = chunks.alias("c"), told.alias("t")
+    judged = c.join(t, same_key("c", "t", [*KEYS, "chunk"])).select("c.*", *(f"t.{n}" for n in told.columns if n not in (*KEYS, "chunk")))
     flags = judged.mapInPandas(_chunk_flags(limits, chunk), f"{text}, sec bigint, level double, least double, most double, reason string")
     r, g = rows.alias("r"), flags.alias("g")
     value = F.col("r.value")

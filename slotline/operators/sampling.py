@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slotline.operators.blocks import same_key, with_place
+
 
 def hashed(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
@@ -23,6 +25,12 @@ def hash_split(df: DataFrame, keys: Sequence[str], fraction: float, seed: int =
     return df.withColumn("split", F.when(uniform(seed, *keys) < fraction, "val").otherwise("train"))
 
 
+def hash_place(df: DataFrame, by: Sequence[str], identity: Sequence[str], seed: int, name: str = "_place") -> DataFrame:
+    """Adds the 0-based place of each row in its group in the order of the hash, without gathering a group: 65,536 buckets of the hash are ranked each by itself."""
+    drawn = df.withColumn("_hash", hashed(seed, *identity))
+    return with_place(drawn, by, ["_hash", *identity], F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"), name).drop("_hash")
+
+
 def _least(df: DataFrame, by: Sequence[str], identity: Sequence[str], seed: int, most: Column) -> DataFrame:
     """Rows of least hash in each group; Spark limits the groups before the shuffle where ``most`` is constant."""
     ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(hashed(seed, *identity), *identity)))
@@ -44,14 +52,14 @@ def stratified(df: DataFrame, stratum: str, identity: Sequence[str], n: int, bal
     part = F.lit(n / max(1, total.k)) if balanced else F.col("size") * (n / max(1, total.s or 1))
     quota = sizes.select(F.col(stratum).alias("_s"), F.least(F.bround(part).cast("bigint"), F.col("size")).alias("_quota"))
     joined = df.join(quota, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
-    return _least(joined, [stratum], identity, seed, F.col("_quota")).drop("_quota")
+    return hash_place(joined, [stratum], identity, seed).filter(F.col("_place") < F.col("_quota")).drop("_place", "_quota")
 
 
 def group_holdout(df: DataFrame, group: str, fraction: float, seed: int = 2026) -> DataFrame:
     """Rows of max(1, round(fraction * groups)) whole groups."""
     groups = df.select(group).distinct()
     k = max(1, round(fraction * groups.count()))
-    chosen = groups.orderBy(hashed(seed, group), group).limit(k)
+    chosen = hash_place(groups, [], [group], seed).filter(F.col("_place") < k)
     return df.join(chosen, group, "left_semi")
 
 
@@ -62,12 +70,15 @@ def one_per_stratum_then(df: DataFrame, stratum: str, identity: Sequence[str], n
     return first.unionByName(rest.limit(max(0, n - first.count())))
 
 
-def evenly_spaced(df: DataFrame, by: Sequence[str], order: str, k: int) -> DataFrame:
-    """Of each ordered group the rows at round(linspace(0, n - 1, k)), half to even, repeated places once."""
-    w = W.partitionBy(*by)
-    placed = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
-    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.bround(j * (F.col("_n") - 1) / float(max(1, k - 1))).cast("bigint"))
-    return placed.filter(F.array_contains(places, F.col("_i").cast("bigint"))).drop("_i", "_n")
+def evenly_spaced(df: DataFrame, by: Sequence[str], order: str, k: int, bucket: Column | None = None) -> DataFrame:
+    """Of each ordered group the rows at round(linspace(0, n - 1, k)), half to even, repeated places once.
+
+    ``bucket`` cuts the order into stretches that are ranked each by itself; for numbers, 65,536 wide ones.
+    """
+    placed = with_place(df, by, [order], F.floor(F.col(order) / 65_536) if bucket is None else bucket, "_i").alias("p")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).alias("s")
+    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.bround(j * (F.col("s._n") - 1) / float(max(1, k - 1))).cast("bigint"))
+    return placed.join(sizes, same_key("p", "s", by)).filter(F.array_contains(places, F.col("p._i").cast("bigint"))).select(*(f"p.`{c}`" for c in df.columns))
 
 
 def shuffled(df: DataFrame, identity: Sequence[str], seed: int, epoch: int) -> DataFrame:

@@ -60,7 +60,7 @@ _FILL = ("row_pos", "insulin", "carbs", "basal", "bolus", "meal_label")
 
 
 def p6_filled(spark: SparkSession, d: str) -> DataFrame:
-    return fill_from_similar(_readings(spark, d, *_FILL))
+    return fill_from_similar(_readings(spark, d, *_FILL)).withColumn("value", F.round("value", 6))
 
 
 def p6_dependencies(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,49 @@ over_periods as (
 
 _NOT_RECORDED = "{0} is null or not isfinite({0}) or {0} < 0"
 
+_P6_SETS = {
+    "insulin": {"participant,basal,bolus": "s, i, b, o", "source,basal,bolus": "s, b, o", "basal,bolus": "b, o"},
+    "carbs": {"participant,bolus,meal": "s, i, o, m", "source,bolus,meal": "s, o, m"},
+}
+_P6_GROUPS = {"participant,hour": "s, i, h", "participant": "s, i", "source": "s"}
+
+
+def _p6_sql() -> tuple[str, str]:
+    """SQL of the mined dependencies and of the filled rows."""
+    amount = lambda c: f"case when isfinite({c}) and {c} >= 0 then {c} end"
+    finite = lambda c: f"case when isfinite({c}) then {c} end"
+    parts = [f"with r as (select row_pos, source_file as s, upper(trim(id)) as i, hour(date) as h, {finite('basal')} as b, {finite('bolus')} as o, lower(trim(meal_label)) as m, {amount('insulin')} as insulin, {amount('carbs')} as carbs from train)"]
+    reports, rows = [], []
+    for t, sets in _P6_SETS.items():
+        joins, values, origins = [], [f"r.{t}"], [f"when r.{t} is not null then 'recorded'"]
+
+        def step(table: str, columns: str, origin: str) -> None:
+            on = " and ".join(f"r.{c} is not distinct from {table}.{c}" for c in columns.split(", "))
+            joins.append(f"left join {table} on {on}")  # noqa: B023
+            values.append(f"{table}.y")  # noqa: B023
+            origins.append(f"when {table}.y is not null then '{origin}'")  # noqa: B023
+
+        for k, (name, columns) in enumerate(sets.items()):
+            e, d = f"e_{t}_{k}", f"d_{t}_{k}"
+            parts.append(f"{e} as (select {columns}, max(n) as agree, cast(sum(n) as bigint) as n, arg_min(y, {{'a': -n, 'y': y}}) as y from (select {columns}, {t} as y, count(*) as n from r where {t} is not null group by all) group by {columns})")
+            parts.append(f"{d} as (select {columns}, y from {e} where n >= 3 and agree >= 0.95 * n and (select sum(agree) / sum(n) from {e} where n >= 2) >= 0.9)")
+            reports.append(f"select '{t}' as field, '{name}' as determinants, round(sum(agree) / sum(n), 6) as confidence, count(*) as n_keys, cast(coalesce(sum(n), 0) as bigint) as n_records from {e} where n >= 2")
+            step(d, columns, f"dependency: {name}")
+        for k, (name, columns) in enumerate(_P6_GROUPS.items()):
+            parts.append(f"g_{t}_{k} as (select {columns}, median({t}) as y from r where {t} is not null group by {columns} having count(*) >= 3)")
+            step(f"g_{t}_{k}", columns, f"median: {name}")
+        parts.append(f"w_{t} as (select median({t}) as y from r)")
+        origins.append(f"when w_{t}.y is not null then 'median: all'")
+        rows.append(f"select r.row_pos, '{t}' as field, round(coalesce({', '.join([*values, f'w_{t}.y'])}), 6) as value, r.{t} is null as filled, case {' '.join(origins)} else 'none' end as provenance from r {' '.join(joins)}, w_{t}")
+    begin = ", ".join(parts)
+    return begin + " " + " union all ".join(reports), begin + " " + " union all ".join(rows)
+
+
+_P6_DEPENDENCIES, _P6_FILLED = _p6_sql()
+
 ORACLE = {
+    "p6_dependencies": _P6_DEPENDENCIES,
+    "p6_filled": _P6_FILLED,
     "p1_found": "select source_file from template where source_file is not null group by 1 having count(*) * 20 >= (select count(*) from template)",
     "p1_counts": f"select source_file, count(*) as n_rows, count(distinct {ID}) as n_participants from template group by 1",
     "p2_found": f"""

@@ -14,6 +14,8 @@ from slotline.operators import linear as L
 from slotline.operators import lookups as J
 from slotline.operators import metrics as M
 from slotline.operators import sampling as P
+from slotline.operators.blocks import with_place
+from slotline.operators.quantiles import exact_median
 from slotline.operators.segments import segment_counts, segments
 from slotline.sources.readings import participant_id
 from slotline.sources.tables import finite, from_epoch_seconds, normalise_missing, table, to_double
@@ -464,7 +466,8 @@ def identity_scan(spark, d):
 @query("select source_file, count(*) filter (isfinite(insulin) and insulin <> 0) as insulin, count(*) filter (isfinite(carbs) and carbs <> 0) as carbs, round(avg(cgm) filter (isfinite(cgm)), 4) as mean_cgm, round(median(cgm) filter (isfinite(cgm)), 4) as median_cgm from train group by 1")
 def recorded_counts(spark, d):
     t = normalise_missing(table(spark, d, "train", ["source_file", "insulin", "carbs", "cgm"]))
-    return t.groupBy("source_file").agg(F.count_if(F.col("insulin") != 0).alias("insulin"), F.count_if(F.col("carbs") != 0).alias("carbs"), F.round(F.avg("cgm"), 4).alias("mean_cgm"), F.round(F.median("cgm"), 4).alias("median_cgm"))
+    counts = t.groupBy("source_file").agg(F.count_if(F.col("insulin") != 0).alias("insulin"), F.count_if(F.col("carbs") != 0).alias("carbs"), F.round(F.avg("cgm"), 4).alias("mean_cgm"))
+    return J.attach(counts, exact_median(t, ["source_file"], "cgm").select("source_file", F.round("median", 4).alias("median_cgm")), ["source_file"])
 
 
 @query("select row_pos, try_cast(id as double) as number from template")
@@ -483,7 +486,7 @@ def source_filter(spark, d):
 @query("with m as (select median(target_30) filter (isfinite(target_30)) as m from targets) select t.row_pos, round(coalesce(case when isfinite(target_30) then target_30 end, m, 120.0), 4) as filled from targets t, m")
 def median_fallback(spark, d):
     y = normalise_missing(table(spark, d, "targets", ["row_pos", "target_30"]))
-    m = y.agg(F.median("target_30").alias("m")).first().m
+    m = ([r.m for r in exact_median(y, [], "target_30", name="m").collect()] or [None])[0]
     return y.select("row_pos", F.round(F.coalesce("target_30", F.lit(m).cast("double"), F.lit(120.0)), 4).alias("filled"))
 
 
@@ -565,10 +568,8 @@ def even_pick(spark, d):
 
 @query("select event_type, cast(dense_rank() over (order by min(event_id)) - 1 as integer) as code from events group by 1")
 def first_seen_codes(spark, d):
-    from pyspark.sql import Window as W
-
     first = table(spark, d, "events", ["event_type", "event_id"]).groupBy("event_type").agg(F.min("event_id").alias("_first"))
-    return first.select("event_type", (F.dense_rank().over(W.orderBy("_first")) - 1).alias("code"))
+    return with_place(first, [], ["_first"], F.floor(F.col("_first") / 65_536), "code").select("event_type", F.col("code").cast("int").alias("code"))
 
 
 # --- linear models and scores ----------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,12 +27,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) is a temporary folder of this machine taken.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is
+    local (tests, a single machine) is a temporary folder of this machine taken. Executors of a
+    cluster can't share such a folder, so there the setting is required.
     """
     now = spark.sparkContext.getCheckpointDir()
     if now:
         return now
-    to = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slotline-checkpoint-")
+    to = spark.conf.get("spark.checkpoint.dir", None)
+    if not to:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        to = tempfile.mkdtemp(prefix="slotline-checkpoint-")
     spark.sparkContext.setCheckpointDir(to)
     return to

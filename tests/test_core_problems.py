@@ -104,6 +104,29 @@ def test_stuck_runs_of_a_logger_that_repeats_each_value(spark):
         x[90:96], x[245:280] = x[90], 133.33  # over the end of a chunk of 256
         got = {r.row_pos: r.reason for r in implausible(readings(spark, series(list(x))), chunk=256, margin=64).collect()}
         assert {k for k, v in got.items() if v == "stuck"} == set(range(245, 280))
+    assert _hanging(np.array([1.0, 2, 2]), 3, (1.0, 2), (2.0, 1)).tolist() == [True, True, True] and not _hanging(np.array([1.0, 2]), 3, (3.0, 9), (np.nan, 0)).any()
+
+
+def test_stuck_runs_over_chunk_ends(spark):
+    """Runs across every end of chunks of 256 readings, one over three chunks, of a sensor that often repeats itself."""
+    rng = np.random.default_rng(5)
+    x = np.round(150 + 40 * np.sin(np.arange(4000) / 60) + rng.normal(0, 1.0, 4000))
+    want = set()
+    for i, end in enumerate(range(256, 3800, 512)):
+        at = range(end - 100 - i, end + 100 + i) if i != 3 else range(end - 300, end + 300)
+        x[list(at)] = 200.5 + i
+        want |= set(at)
+    for chunk in (256, 4096):
+        got = {r.row_pos for r in implausible(readings(spark, series(list(x))), chunk=chunk).filter("reason = 'stuck'").collect()}
+        assert got == want
+
+
+def test_doses_out_of_scale(spark):
+    rng = np.random.default_rng(6)
+    u = np.round(rng.uniform(3, 5, 300), 2)
+    u[149:152] = 3.0, 18.5, 3.0  # below five median doses, above six times its neighbours
+    rows = [{**r, "insulin": float(v), "basal": 0.6, "cgm": None} for r, v in zip(series(list(u), step=180), u, strict=True)]
+    assert {(r.row_pos, r.reason) for r in implausible(readings(spark, rows)).collect()} == {(150, "spike")}
 
 
 def test_implausible_doses(spark):

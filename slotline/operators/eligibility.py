@@ -21,6 +21,7 @@ class Rules:
     longest_insulin_gap: int = 23
     zero_is_missing: bool = False  # whether an insulin of 0 counts as missing
     carb_events: tuple[str, ...] = ("carbs > 0",)
+    contiguous: bool = False  # whether every slot from the history's first to the last horizon must be a row
 
 
 RULES = Rules()
@@ -29,7 +30,7 @@ RULES = Rules()
 def origins(grid: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Per grid slot: cgm, coverage, n_history, the targets ``y<k>``, carb_event, cgm_gap, ins_gap and ``reason`` (NULL if eligible).
 
-    Reasons in their order: cadence, target, current, coverage, cgm_gap, insulin_gap, carbs. A gap
+    Reasons in their order: contiguity (if asked for), cadence, target, current, coverage, cgm_gap, insulin_gap, carbs. A gap
     flag says that the history window holds a run of more missing slots than allowed; runs are cut
     to the window. A run between two recorded slots lies inside the window if the slot before it does.
     """
@@ -49,7 +50,7 @@ def origins(grid: DataFrame, rules: Rules = RULES) -> DataFrame:
     def second(frame):
         past, start = frame(-(h - 1), 0), F.col("slot") - (h - 1)
         out = {f"y{k}": at_slot("cgm", k, frame) for k in rules.horizons}
-        out |= {"n_history": F.count("cgm").over(past), "carb_event": F.coalesce(F.max("_carb").over(past), F.lit(0)) > 0}
+        out |= {"_rows": F.count("*").over(frame(-(h - 1), max(rules.horizons))), "n_history": F.count("cgm").over(past), "carb_event": F.coalesce(F.max("_carb").over(past), F.lit(0)) > 0}
         for c, most in limits.items():
             head, tail = F.min(c).over(past), F.max(c).over(past)
             inner = F.coalesce(F.max(f"{c}_from").over(past) >= start, F.lit(False))
@@ -60,11 +61,12 @@ def origins(grid: DataFrame, rules: Rules = RULES) -> DataFrame:
     lacking = F.lit(False)
     for k in rules.horizons:
         lacking = lacking | F.col(f"y{k}").isNull()
+    broken = F.lit(rules.contiguous) & (F.col("_rows") < h + max(rules.horizons))
     reason = (
-        F.when(F.col("slot") % rules.cadence != 0, "cadence").when(lacking, "target").when(F.col("cgm").isNull(), "current").when(F.col("coverage") < rules.min_valid, "coverage")
+        F.when(broken, "contiguity").when(F.col("slot") % rules.cadence != 0, "cadence").when(lacking, "target").when(F.col("cgm").isNull(), "current").when(F.col("coverage") < rules.min_valid, "coverage")
         .when(F.col("cgm_gap"), "cgm_gap").when(F.col("ins_gap"), "insulin_gap").when(~F.col("carb_event"), "carbs")
     )
-    return full.withColumn("reason", reason).drop("_cgm", "_ins", "_carb", "_cgm_from", "_ins_from")
+    return full.withColumn("reason", reason).drop("_cgm", "_ins", "_carb", "_cgm_from", "_ins_from", "_rows")
 
 
 def waterfall(judged: DataFrame, by: Sequence[str] = ()) -> DataFrame:

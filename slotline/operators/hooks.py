@@ -51,6 +51,17 @@ class SlotSums:
         return over_slots(df, lambda f: {f"{v}_sum_{self.slots}": F.coalesce(F.sum(v).over(f(-self.slots + 1, 0)), F.lit(0.0)) for v in self.values}, self.slots - 1, 0)
 
 
+class WithCodes:
+    """Wraps a hook and adds a code of the key beside its columns: a hash into ``places``."""
+
+    def __init__(self, inner: FeatureHook, keys: Sequence[str], places: int = 1 << 16, name: str = "code") -> None:
+        self.inner, self.keys, self.places, self.name = inner, list(keys), places, name
+        self.columns = [*inner.columns, name]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return self.inner.apply(df).withColumn(self.name, F.pmod(F.xxhash64(*self.keys), F.lit(self.places)).cast("int"))
+
+
 def batched_inference(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """``load`` is called once a task and returns the function applied to each Arrow batch."""
 

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotline.operators.blocks import chunked, same_key, with_place
-from slotline.session import ensure_checkpoint_dir
+from slotline.session import written
 from slotline.sources.readings import participant_id
 from slotline.sources.tables import epoch_seconds, finite
 
@@ -235,16 +235,15 @@ def implausible(readings: DataFrame, limits: Limits = LIMITS, chunk: int = CHUNK
     holds more than a chunk of it; the participant's figures are medians of the chunks' figures, and
     runs over a chunk's ends are put together from the neighbours' first and last runs.
     """
-    ensure_checkpoint_dir(readings.sparkSession)
     rows = _recorded(readings)
     instants = rows.groupBy(*KEYS, "sec").agg(F.min_by("value", "row_pos").alias("value"), F.min("value").alias("low"), F.max("value").alias("high"))
     placed = with_place(instants, KEYS, ["sec"], F.floor(F.col("sec") / 86400))
     packed = chunked(placed, KEYS, ["sec", "value", "low", "high"], chunk, margin)
-    chunks = packed.select(*KEYS, "chunk", "core_from", *(F.col(f"rows.{c}").alias(c) for c in ("place", "sec", "value", "low", "high")))
+    chunks = written(packed.select(*KEYS, "chunk", "core_from", *(F.col(f"rows.{c}").alias(c) for c in ("place", "sec", "value", "low", "high"))))
     text = "source_file string, id string, field string"
-    parts = chunks.mapInPandas(
+    parts = written(chunks.drop("low", "high").mapInPandas(
         _chunk_figures(limits, chunk), f"{text}, chunk bigint, level double, scale double, pace double, run bigint, again bigint, begun bigint, head double, n_head bigint, tail double, n_tail bigint"
-    ).checkpoint()  # a row a chunk
+    ))  # a row a chunk
     mid = lambda c: F.percentile_approx(c, 0.5, 10000)
     figures = parts.groupBy(*KEYS).agg(mid("level").alias("level"), mid("scale").alias("scale"), mid("pace").alias("pace"), mid("run").alias("run"), F.sum("again").alias("again"), F.sum("begun").alias("begun"))
     meal = rows.filter(F.col("field") == "insulin").select("source_file", "id", _meal_dose(F.col("value"), F.col("base"), limits).alias("dose")).filter(F.col("dose").isNotNull())

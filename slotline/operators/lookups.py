@@ -70,3 +70,15 @@ def coverage(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFra
     for v in values:
         any_ = any_ | F.coalesce(F.abs(F.col(v)) < float("inf"), F.lit(False))
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(any_).alias("n_covered"))
+
+
+def scattered(template: DataFrame, values: DataFrame, pos: str) -> DataFrame:
+    """The template's rows with ``values`` (position and further columns) put at their positions; NULL where there is none."""
+    unique(values, [pos])
+    return template.join(values, pos, "left")
+
+
+def wanted_rows(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key is among the wanted ones, each once; NULL keys meet."""
+    a, b = df.alias("a"), wanted.select(*keys).distinct().alias("b")
+    return a.join(b, same_key("a", "b", keys), "left_semi")

@@ -84,3 +84,15 @@ def evenly_spaced(df: DataFrame, by: Sequence[str], order: str, k: int, bucket:
 def shuffled(df: DataFrame, identity: Sequence[str], seed: int, epoch: int) -> DataFrame:
     """Every row once, in an order that depends on seed and epoch only."""
     return df.orderBy(hashed(seed + epoch, *identity), *identity)
+
+
+def capped_twice(df: DataFrame, by: Sequence[str], identity: Sequence[str], cap: int, keep: Column, times: int = 4, seed: int = 2026) -> DataFrame:
+    """``times * cap`` candidates of each group by hash, of those that ``keep`` holds for at most ``cap`` by another."""
+    return capped(capped(df, by, identity, times * cap, seed).filter(keep), by, identity, cap, seed + 1)
+
+
+def spread_blocks(df: DataFrame, pos: str, size: int, n: int) -> DataFrame:
+    """The rows of ``n`` blocks of ``size`` positions, evenly spread over the table: those at round(linspace(0, blocks - 1, n)), half to even."""
+    last = (df.agg(F.max(pos)).first()[0] or 0) // size
+    wanted = sorted({round(j * last / max(1, n - 1)) for j in range(n)})
+    return df.filter(F.floor(F.col(pos) / size).isin(wanted))

@@ -83,6 +83,20 @@ def persistence_scores(spark, d):
     return _pooled(_rounded(M.scores(_persistence(spark, d)), "rmse", "mard"))
 
 
+_MASKED = f"""with {_grid_sql('cgm')},
+y as (select *, {', '.join(f'max(cgm) {_frame(k, k)} as y{k}' for k in HORIZONS)} from g),
+l as (select cast(h as bigint) as horizon, least(greatest(cgm, 40), 400) as pred, case h {' '.join(f'when {5 * k} then y{k}' for k in HORIZONS)} end as ref
+  from y, (values {', '.join(f'({5 * k})' for k in HORIZONS)}) v(h) where cgm is not null)"""
+
+
+@query(_MASKED + " select horizon, round(sum((pred - ref) * (pred - ref)), 1) as sse, count(*) as n from l where ref is not null group by 1")
+def masked_errors(spark, d):
+    """Squared errors and counts of each horizon, over the rows that have that one."""
+    seen = G.over_slots(_grid(spark, d, "cgm"), lambda f: {f"y{k}": G.at_slot("cgm", k, f) for k in HORIZONS}, 0, max(HORIZONS))
+    long = M.long_pairs(seen.withColumn("pred", S.clip(F.col("cgm"))), [("pred", f"y{k}", 5 * k) for k in HORIZONS])
+    return M.grouped_rmse(long, ["horizon"]).select("horizon", F.round("sse", 1).alias("sse"), "n")
+
+
 def _line_sql(name: str) -> str:
     knee, flat, slope, start = S.GRID_LINES[name]
     return f"case when ref <= {knee} then {flat} else {slope!r} * (ref - {knee}) + {start} end as {name}"
@@ -220,9 +234,9 @@ def contiguity(spark, d):
 _ELIGIBLE = f"""with {_grid_sql('cgm', 'insulin', 'carbs')},
 m as (select *, case when cgm is not null then slot end as c, case when insulin is not null then slot end as i, case when carbs > 0 then 1 else 0 end as ev from g),
 p as (select *, case when c - max(c) {_frame(-288, -1)} - 1 > 5 then max(c) {_frame(-288, -1)} end as cf, case when i - max(i) {_frame(-288, -1)} - 1 > 23 then max(i) {_frame(-288, -1)} end as jf from m),
-q as (select *, {', '.join(f'max(cgm) {_frame(k, k)} as y{k}' for k in HORIZONS)}, count(cgm) {_frame(-287, 0)} as n_history, max(ev) {_frame(-287, 0)} as evs,
+q as (select *, {', '.join(f'max(cgm) {_frame(k, k)} as y{k}' for k in HORIZONS)}, count(*) {_frame(-287, 24)} as n_rows, count(cgm) {_frame(-287, 0)} as n_history, max(ev) {_frame(-287, 0)} as evs,
   min(c) {_frame(-287, 0)} as ch, max(c) {_frame(-287, 0)} as ct, max(cf) {_frame(-287, 0)} as cm, min(i) {_frame(-287, 0)} as ih, max(i) {_frame(-287, 0)} as it, max(jf) {_frame(-287, 0)} as im from p),
-r as (select *, case when slot % 3 <> 0 then 'cadence' when {' or '.join(f'y{k} is null' for k in HORIZONS)} then 'target' when cgm is null then 'current' when n_history / 288.0 < 0.5 then 'coverage'
+r as (select *, case when false then '' when slot % 3 <> 0 then 'cadence' when {' or '.join(f'y{k} is null' for k in HORIZONS)} then 'target' when cgm is null then 'current' when n_history / 288.0 < 0.5 then 'coverage'
   when ch is null or coalesce(cm >= slot - 287, false) or ch - (slot - 287) > 5 or slot - ct > 5 then 'cgm_gap' when ih is null or coalesce(im >= slot - 287, false) or ih - (slot - 287) > 23 or slot - it > 23 then 'insulin_gap'
   when evs = 0 then 'carbs' else 'eligible' end as reason from q)"""
 
@@ -232,6 +246,11 @@ def eligibility_waterfall(spark, d):
     return E.waterfall(E.origins(_grid(spark, d, "cgm", "insulin", "carbs")), ["source_file"])
 
 
+@query(_ELIGIBLE.replace("when false then ''", "when n_rows < 312 then 'contiguity'") + " select source_file, reason, count(*) as n from r group by all")
+def eligibility_strict(spark, d):
+    return E.waterfall(E.origins(_grid(spark, d, "cgm", "insulin", "carbs"), E.Rules(contiguous=True)), ["source_file"])
+
+
 @query(
     f"with {_grid_sql('cgm')}, f as (select *, min(slot) over (partition by source_file, id) as s0, count(*) over (partition by source_file, id) as total, count(cgm) {_frame(-287, 0)} / 288.0 as coverage from g) "
     "select source_file, id, count(*) as n, count(*) filter (total > 288 and slot >= s0 + 287) as with_room, count(*) filter (cgm is not null and coverage >= 0.5) as valid from f group by all"
@@ -457,6 +476,39 @@ def format_report(spark, d):
     return J.format_report(table(spark, d, "template", ["row_pos", *_KEY, *values]), table(spark, d, "targets", ["row_pos", *_KEY]), "row_pos", ["id", "source_file", "date"], values)
 
 
+_STATE = "case when count({0}) filter (not isnan({0})) = 0 then 'empty' when count({0}) filter (not isnan({0})) = count(*) then 'populated' else 'partial' end as {0}_state"
+_STATES = {"pred_30": "target_30", "pred_60": "case when isfinite(target_60) then target_60 else 120 end", "pred_90": "case when false then target_90 end"}
+
+
+@query(
+    f"with p as (select row_pos, id, source_file, date, {', '.join(f'{v} as {k}' for k, v in _STATES.items())} from targets where target_30 is not null) select (select count(*) from p) as n_predictions, (select count(*) from template) as n_template, "
+    "(select count(*) from p full join template t using (row_pos) where p.row_pos is null or t.row_pos is null) as n_unmatched, "
+    + ", ".join(f"(select count(*) from p join template t using (row_pos) where p.{k} is distinct from t.{k}) as {k}_mismatches" for k in ("id", "source_file", "date"))
+    + ", " + ", ".join(_STATE.format(k) for k in _STATES) + " from p"
+)
+def format_states(spark, d):
+    """A report in which a column is partial, one populated, one empty, and rows lack a partner."""
+    t = table(spark, d, "targets", ["row_pos", *_KEY, "target_30", "target_60", "target_90"]).filter("target_30 is not null")
+    made = t.select("row_pos", *_KEY, F.col("target_30").alias("pred_30"), F.coalesce(finite("target_60"), F.lit(120.0)).alias("pred_60"), F.lit(None).cast("double").alias("pred_90"))
+    return J.format_report(made, table(spark, d, "template", ["row_pos", *_KEY]), "row_pos", ["id", "source_file", "date"], list(_STATES))
+
+
+@query("select t.row_pos, t.source_file, y.target_60 as pred from template t left join (select row_pos, target_60 from targets where isfinite(target_60)) y using (row_pos)")
+def scattered_predictions(spark, d):
+    """Predictions of some rows put at their positions in the template."""
+    made = table(spark, d, "targets", ["row_pos", "target_60"]).select("row_pos", finite("target_60").alias("pred")).filter("pred is not null")
+    return J.scattered(table(spark, d, "template", ["row_pos", "source_file"]), made, "row_pos")
+
+
+@query("select row_pos, cgm from train t where (source_file, upper(trim(id))) in (select source_file, upper(trim(id)) from template where source_file is not null) and isfinite(cgm)")
+def wanted_scan(spark, d):
+    """The readings of the participants that the template asks for."""
+    keys = ["source_file", "id"]
+    rows = table(spark, d, "train", ["row_pos", *keys, "cgm"]).withColumn("id", participant_id()).withColumn("cgm", finite("cgm")).filter("cgm is not null")
+    wanted = table(spark, d, "template", keys).filter("source_file is not null").withColumn("id", participant_id())
+    return J.wanted_rows(rows, wanted, keys).select("row_pos", "cgm")
+
+
 @query("select source_file, count(*) as n, count(distinct upper(trim(id))) as n_participants, min(date) as first, max(date) as last from train group by 1")
 def identity_scan(spark, d):
     t = table(spark, d, "train", ["source_file", "id", "date"])
@@ -542,6 +594,37 @@ def capped_sample(spark, d):
     return P.capped(table(spark, d, "events", ["event_id", "user_id"]), ["user_id"], ["event_id"], 5)
 
 
+@query(
+    f"with r as (select event_id, user_id, value, row_number() over (partition by user_id order by {_H('event_id')}, event_id) as k from events), c as (select event_id, user_id, row_number() over (partition by user_id order by {_H('event_id').replace('2026', '2027')}, event_id) as k from r where k <= 20 and value > 20) select event_id, user_id from c where k <= 5"
+)
+def two_stage_sample(spark, d):
+    return P.capped_twice(table(spark, d, "events", ["event_id", "user_id", "value"]), ["user_id"], ["event_id"], 5, F.col("value") > 20).select("event_id", "user_id")
+
+
+@query(
+    f"with q as (select event_type, least(cast(round_even(500.0 / (select count(distinct event_type) from events), 0) as bigint), count(*)) as quota from events group by 1), r as (select event_id, event_type, row_number() over (partition by event_type order by {_H('event_id')}, event_id) as k from events) select event_id, event_type from r join q using (event_type) where k <= quota"
+)
+def balanced_quota(spark, d):
+    return P.stratified(table(spark, d, "events", ["event_id", "event_type"]), "event_type", ["event_id"], 500, balanced=True)
+
+
+@query("select row_pos, source_file from template where row_pos // 64 in (select cast(round_even(j * (select max(row_pos) // 64 from template) / 4.0, 0) as bigint) from (values (0), (1), (2), (3), (4)) v(j))")
+def spread_sample(spark, d):
+    return P.spread_blocks(table(spark, d, "template", ["row_pos", "source_file"]), "row_pos", 64, 5)
+
+
+@query("select user_id, count(*) as n from events group by 1 order by n desc, user_id limit 25")
+def top_users(spark, d):
+    return table(spark, d, "events", ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(25)
+
+
+@query("select row_pos, source_file, upper(trim(id)) as id, row_number() over (partition by source_file, upper(trim(id)) order by date, row_pos) - 1 as place from train where date is not null")
+def sorted_by_key_and_time(spark, d):
+    """Each reading's place in its participant's record, by time."""
+    rows = table(spark, d, "train", ["row_pos", "source_file", "id", "date"]).filter("date is not null").withColumn("id", participant_id())
+    return with_place(rows, ["source_file", "id"], ["date", "row_pos"], F.to_date("date")).select("row_pos", "source_file", "id", F.col("place").cast("bigint").alias("place"))
+
+
 @query(
     f"with q as (select event_type, least(cast(round_even(count(*) * (500.0 / (select count(*) from events)), 0) as bigint), count(*)) as quota from events group by 1), r as (select event_id, event_type, row_number() over (partition by event_type order by {_H('event_id')}, event_id) as k from events) select event_id, event_type from r join q using (event_type) where k <= quota"
 )

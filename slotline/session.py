@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -41,3 +42,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         to = tempfile.mkdtemp(prefix="slotline-checkpoint-")
     spark.sparkContext.setCheckpointDir(to)
     return to
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table, written once to the shared checkpoint folder (as compressed columns) and read from there."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/slotline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,28 @@ def assemble(spark: SparkSession, glob: str, template: DataFrame, keys: Sequence
     if bare:
         raise ShardConflict(f"{bare} rows are not covered")
     return out.select(*template.columns)
+
+
+def cached(spark: SparkSession, root: str, arguments: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, kept under a name made of the arguments: a later call with the same ones reads it back.
+
+    A folder without the mark of a finished write is written anew.
+    """
+    name = hashlib.sha256(json.dumps(arguments, sort_keys=True, default=str).encode()).hexdigest()[:24]
+    path = f"{root}/{name}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def provenance(spark: SparkSession, glob: str, values: Sequence[str]) -> DataFrame:
+    """Per file of a result: its rows, and how many of them have each value."""
+    rows = spark.read.parquet(glob).withColumn("_file", F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1))
+    return rows.groupBy(F.col("_file").alias("file")).agg(F.count("*").alias("n"), *(F.count(v).alias(f"n_{v}") for v in values))
+
+
+def shuffled_shards(spark: SparkSession, glob: str, identity: Sequence[str], seed: int, epoch: int) -> DataFrame:
+    """The records of shards, each once, in an order that depends on seed and epoch only."""
+    from slotline.operators.sampling import shuffled
+
+    return shuffled(spark.read.parquet(glob), identity, seed, epoch)

@@ -66,3 +66,21 @@ def read_blocks(spark: SparkSession, paths: Sequence[str], columns: Sequence[str
 def columns_like(df: DataFrame, hints: Sequence[str]) -> list[str]:
     """Names of the schema that hold one of the hints, in schema order and without regard to case."""
     return [c for c in df.schema.names if any(h.lower() in c.lower() for h in hints)]
+
+
+def require_path(spark: SparkSession, path: str) -> str:
+    """The path, if something is there; else an error before any scan is planned."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        raise FileNotFoundError(path)
+    return path
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV side input with a header, in the given schema."""
+    return spark.read.schema(schema).option("header", True).csv(require_path(spark, path))
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON side input, one document or a list of them a file, in the given schema."""
+    return spark.read.schema(schema).option("multiLine", True).json(require_path(spark, path))

@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotline.operators.blocks import same_key
+from slotline.session import written
 from slotline.sources.readings import SLOT_SECONDS, participant_id
 from slotline.sources.tables import epoch_seconds, finite
 
@@ -136,7 +137,7 @@ def smoothed_blocks(readings: DataFrame, value: str = "cgm", slot_seconds: int =
     rows = readings.filter(F.col("date").isNotNull()).select("source_file", participant_id().alias("id"), epoch_seconds("date").alias("sec"), finite(value).alias("v")).filter(F.col("v").isNotNull())
     slot = F.floor(F.col("sec") / slot_seconds).cast("bigint")
     seen = rows.groupBy(*KEYS, slot.alias("slot")).agg(F.avg("v").alias("v"), (F.avg(F.col("sec") - slot * slot_seconds) / slot_seconds).alias("offset"))
-    seen = seen.withColumn("block", F.floor(F.col("slot") / block).cast("bigint"))
+    seen = written(seen.withColumn("block", F.floor(F.col("slot") / block).cast("bigint")))  # the slots are read three times below
     near = F.lag(F.struct("slot", "v")).over(W.partitionBy(*KEYS, "block").orderBy("slot"))
     step = F.when(F.col("slot") - F.col("near.slot") <= 3, F.abs(F.col("v") - F.col("near.v")))
     own = seen.withColumn("near", near).withColumn("step", F.when(step > 0, step))

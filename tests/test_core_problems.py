@@ -71,6 +71,27 @@ def test_grid_marks_and_fills(spark):
     assert regular_grid(df).filter("id is null").count() == 1 and regular_grid(readings(spark, [])).count() == 0
 
 
+def test_fills_beside_withheld_readings(spark):
+    """A tenth of the readings withheld: the smoother beats the straight line, and its deviation tells the error's size."""
+    rng = np.random.default_rng(11)
+    trend, x = 0.0, [150.0]
+    for _ in range(2999):
+        trend = 0.92 * trend + rng.normal(0, 0.8)
+        x.append(x[-1] + trend - 0.01 * (x[-1] - 150))
+    x = np.array(x) + rng.normal(0, 1.0, 3000)
+    hidden = np.zeros(3000, bool)
+    for at in rng.choice(np.arange(20, 2960), 100, replace=False):
+        hidden[at : at + int(rng.integers(1, 6))] = True
+    grid = {r.slot: r for r in regular_grid(readings(spark, series([None if h else v for h, v in zip(hidden, x, strict=True)]))).collect()}
+    first, at = min(grid), np.flatnonzero(hidden)
+    filled, sd = (np.array([grid[first + int(k)][c] for k in at]) for c in ("value", "sd"))
+    line = np.interp(at, np.flatnonzero(~hidden), x[~hidden])
+    rmse = lambda p: float(np.sqrt(np.mean((p - x[at]) ** 2)))
+    assert all(grid[first + int(k)].missing for k in at)
+    assert rmse(filled) < rmse(line)
+    assert 0.85 < np.mean(np.abs(filled - x[at]) < 2 * np.sqrt(sd**2 + 1.0)) <= 1.0
+
+
 def test_blocks_agree_with_the_whole_record():
     rng = np.random.default_rng(0)
     x = np.cumsum(rng.normal(size=600)) + 100
